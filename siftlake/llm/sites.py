@@ -1,0 +1,25 @@
+"""The site of a fetched page."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.functions.urls import canonical_url, host_of
+
+
+def with_site(pages: DataFrame, candidates: DataFrame, *keep: str) -> DataFrame:
+    """page_id, site, canonical URL and the columns to keep of every page.
+
+    The site is the host of final_url in lower case without www.; where final_url is null, the domain that the
+    candidates give for the canonical URL (the least of several), or else the host of url. Only the pages without
+    final_url meet the candidates; their texts stay out of that join's key.
+    """
+    canon = canonical_url(F.coalesce("url", "final_url")).alias("canon")
+    base = pages.select("page_id", canon, host_of(F.col("final_url")).alias("host"), host_of(F.col("url")).alias("own"), *keep)
+    domain: Column = F.regexp_replace(F.lower(F.trim("domain")), r"^www\.", "")
+    lack = base.where("host is null").select("canon").distinct()
+    known = candidates.where("domain is not null").select(F.col("canonical_url").alias("canon"), domain.alias("given")).join(lack, "canon", "left_semi").groupBy("canon").agg(F.min("given").alias("given"))
+    full = base.where("host is not null").select("page_id", F.col("host").alias("site"), "canon", *keep)
+    rest = base.where("host is null").join(known, "canon", "left").select("page_id", F.coalesce("given", "own").alias("site"), "canon", *keep)
+    return full.unionByName(rest)
