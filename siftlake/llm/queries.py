@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import boilerplate, residue, sitelines
+from siftlake.llm import boilerplate, bpe, language, leak, linking, residue, sitelines
 from siftlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of scholarships that are of the same programme, in pairs."""
+    return linking.same_programme(table(spark, d, "scholarships"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages with template residue, filler or messages in place of a programme's text."""
     return residue.residue(table(spark, d, "pages"))
@@ -37,8 +42,43 @@ def p7_texts(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, d, "pages"), table(spark, d, "discovery_candidates"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of documents."""
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and tokens by language label."""
+    return bpe.token_counts(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the test items that leaked into them."""
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of words to remove from documents because of leaks."""
+    return leak.leaked_spans(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of documents that are labelled wrongly or not at all, or mixed."""
+    return language.mislabelled(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of documents with their language and confidence."""
+    return language.segments(table(spark, d, "documents"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of each document."""
+    return language.document_languages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p5_found, p5_bodies, p7_found, p7_texts)}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_bodies, p7_found, p7_texts, p8_ids, p8_counts, p9_found, p9_spans, p10_found, p10_segments, p10_documents)}
 
 
 P7 = r"""
