@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftlake.functions.urls import canonical_url
 from siftlake.llm.boilerplate import is_name
 from siftlake.llm.lines import CONTENT, ERROR, FILLER, FURNITURE, LineModel
+from siftlake.session import cut
 
 #: Canonical URLs on which a doubtful whole-page message must stand to count as an error template, and the margin of
 #: the classifier within which a message is doubtful.
@@ -128,7 +129,7 @@ def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
 
     rows = pages.select("page_id", F.xxhash64(canonical_url(F.coalesce("url", "final_url"))).alias("canon"), "title", "text").where("title is not null or text is not null")
     seen = rows.mapInPandas(run, "page_id bigint, canon bigint, kind string, frame string, filler string, sure boolean")
-    seen = seen.withColumn("frame", F.xxhash64("frame")).withColumn("filler", F.xxhash64("filler")).persist()
+    seen = cut(seen.withColumn("frame", F.xxhash64("frame")).withColumn("filler", F.xxhash64("filler")))
     sure = seen.where("sure").select("page_id")
     loose = seen.where("not sure")
     fills = seen.where("kind = 'slot'").select("frame", "filler").distinct().groupBy("frame").agg(F.count("*").alias("n")).where("n > 1")
