@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftlake.llm.names import Provider, alike, programme, provider, same_provider
+from siftlake.llm.names import Provider, alike, initials, programme, provider, same_provider
 from siftlake.session import cut
 
 #: Radius of the joins (edits between two names), names that a pivot's cell is meant to hold, pivots of a space at most,
 #: names sampled from a space for them, and names that one task takes from either side of a join.
-RADIUS, CELL, PIVOTS, SAMPLE, BLOCK = 2, 4_000, 32, 200, 2_500
+RADIUS, CELL, PIVOTS, SAMPLE, BLOCK = 2, 40_000, 32, 200, 20_000
 
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _SIGNATURE = "id bigint, sig bigint, space string, name string, own string, body string, letters string, label string, known boolean"
@@ -94,36 +94,62 @@ def cells_of(space: str, name: str, pivots: dict[str, list[str]], radius: int =
     return [i for i, v in enumerate(d) if v <= min(d) + 2 * radius]
 
 
+def _variants(word: str) -> set[str]:
+    """A word and all that is left of it without one letter: words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def radius_pairs(names: list[tuple[str, ...]], left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Index pairs (a in left, b in right) of names within the radius. Letter counts, a lower bound of the edits, come first."""
+    """Index pairs (a in left, b in right) of names within the radius, which is at most 3.
+
+    Of two two-word names within it one word pair is within one edit, so an index of words without one letter meets
+    all of them. Other names are measured against all by letter counts, a lower bound of the edits, first.
+    """
+    two = [len(n) == 2 for n in names]
+    index: dict[str, list[int]] = defaultdict(list)
+    for b in right.tolist():
+        if two[b]:
+            for w in names[b]:
+                if len(w) > 1:
+                    for v in _variants(w):
+                        index[v].append(b)
+    for a in left.tolist():
+        if two[a]:
+            for b in {b for w in names[a] if len(w) > 1 for v in _variants(w) for b in index.get(v, ())}:
+                if a != b and alike(names[a], names[b], radius) <= radius:
+                    yield a, b
+    odd = np.array([not t for t in two], bool)
+    if not odd.any():
+        return
     text = ["".join(n) for n in names]
     counts = np.zeros((len(names), 27), np.int16)
     for i, t in enumerate(text):
         for c in t:
             counts[i, _LETTERS.get(c, 26)] += 1
     size = counts.sum(1)
-    initial = np.array([len(n) == 2 and min(map(len, n)) == 1 for n in names], bool) if names else np.zeros(0, bool)
-    full = right[~initial[right]]
-    for a in left[~initial[left]]:
-        near = full[np.abs(size[full] - size[a]) <= radius]
-        common = np.minimum(counts[near], counts[a]).sum(1)
-        for b in near[np.maximum(size[near], size[a]) - common <= radius]:
+    for a in left[odd[left]].tolist():
+        near = right[np.abs(size[right] - size[a]) <= radius]
+        for b in near[np.maximum(size[near], size[a]) - np.minimum(counts[near], counts[a]).sum(1) <= radius].tolist():
             if a != b and alike(names[a], names[b], radius) <= radius:
-                yield int(a), int(b)
-    for one, two in ((left, right), (right, left)):
-        short = one[initial[one]]
-        if not len(short):
-            continue
-        by: dict[str, list[int]] = defaultdict(list)
-        for b in two:
-            if len(names[b]) == 2:
-                for w in names[b]:
-                    by[w[0]].append(int(b))
-        for a in short:
-            first = min(names[a], key=len)
-            for b in dict.fromkeys(by[first]):
-                if a != b and alike(names[a], names[b], 1) <= 1:
-                    yield int(a), b
+                yield a, b
+    for b in right[odd[right]].tolist():
+        near = left[~odd[left] & (np.abs(size[left] - size[b]) <= radius)]
+        for a in near[np.maximum(size[near], size[b]) - np.minimum(counts[near], counts[b]).sum(1) <= radius].tolist():
+            if a != b and alike(names[a], names[b], radius) <= radius:
+                yield a, b
+
+
+def _lettered(people: list[Provider | None], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Index pairs of providers of which one or both are acronyms, met by the letters that they stand for."""
+    by: dict[str, list[int]] = defaultdict(list)
+    for b in right.tolist():
+        if p := people[b]:
+            by["".join(sorted(p.letters or initials(p)))].append(b)
+    for a in left.tolist():
+        if p := people[a]:
+            for b in by.get("".join(sorted(p.letters or initials(p))), ()):
+                if a != b and (p.letters or people[b].letters):
+                    yield a, b
 
 
 def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -163,18 +189,24 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
         names = [tuple(n.split()) for n in pdf["name"]]
         people = [Provider(tuple(o.split()), b, le) if k else None for o, b, le, k in zip(pdf["own"], pdf["body"], pdf["letters"], pdf["known"])]
         labels, sigs = list(pdf["label"]), pdf["sig"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        i, j, kind = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["space"].iloc[0]
         block = pdf["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if kind:
+            pairs = radius_pairs(names, left, right, radius)
+        else:  # a title is many providers', so the radius join is on their names
+            owners = [p.name if p and p.name else (x,) if x else () for p, x in zip(people, labels)]
+            pairs = [p for p in {*radius_pairs(owners, left, right, radius), *_lettered(people, left, right)} if alike(names[p[0]], names[p[1]], radius) <= radius]
         out = set()
-        for a, b in radius_pairs(names, np.flatnonzero(block == i), np.flatnonzero(block == j), radius):
+        for a, b in pairs:
             p, q = people[a], people[b]
             if p and q:
                 if same_provider(p, q, radius):
                     out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), True))
-            else:
+            elif p or q or kind:
                 label, other = (labels[a], q) if p is None else (labels[b], p)
                 sure = bool(other and label) and same_provider(Provider((label,), "", ""), other, radius)
-                if sure or pdf["space"].iloc[0]:
+                if sure or kind:
                     out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), sure))
         return pd.DataFrame(sorted(out), columns=["a", "b", "sure"])
 

@@ -145,23 +145,28 @@ def provider(text: str | None) -> Provider | None:
 
 
 def alike(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> int:
-    """Edit distance of two names whatever the order of two words, or radius + 1; a word of one letter stands for any that begins with it.
+    """Edit distance of two names, or radius + 1 if it is greater.
 
-    Words written as one are compared as they stand.
+    Of two-word names it is the sum over their words in the better order, which is a metric on names without order; a
+    word of one letter stands for any that begins with it. Other names are compared as they stand, run together.
     """
     best = radius + 1
-    for x in {a, a[::-1]}:
-        if len(x) == len(b) == 2 and 1 in map(len, (*x, *b)):
+    if len(a) == len(b) == 2:
+        for x in (a, a[::-1]):
             d = 0
             for u, v in zip(x, b):
-                d += (u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, radius)
+                if d < best:
+                    d += (u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, best - 1 - d)
             best = min(best, d)
-        else:
-            best = min(best, distance("".join(x), "".join(b), radius))
+        return best
+    for x in {a, a[::-1]} if len(a) == 2 else (a,):
+        for y in {b, b[::-1]} if len(b) == 2 else (b,):
+            best = min(best, distance("".join(x), "".join(y), radius))
     return best
 
 
 def initials(p: Provider) -> str:
+    """The letters that an acronym of the organisation would have."""
     return "".join(w[0] for w in (*p.name, *p.body.split()) if w and w != "of")
 
 
