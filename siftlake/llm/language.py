@@ -140,16 +140,21 @@ class LanguageModel:
         if len(ids):
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             size = np.diff(np.append(starts, len(at)))
-            z[at[starts]] = np.add.reduceat(self.table[ids], starts) / size[:, None]
+            for a in range(0, len(starts), 1_000):  # a thousand texts at a time, so that memory stays bounded
+                b = starts[a + 1_000] if a + 1_000 < len(starts) else len(at)
+                z[at[starts[a : a + 1_000]]] = np.add.reduceat(self.table[ids[starts[a] : b]], starts[a : a + 1_000] - starts[a]) / size[a : a + 1_000, None]
         return z
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its calibrated confidence."""
-        if not texts:
-            return [], np.zeros(0)
-        ids, at = subwords(texts)
-        p = self._softmax(self._logits(ids, at, len(texts)).astype(np.float64) * self.heat)
-        return [self.names[i] for i in p.argmax(1)], p.max(1)
+        names: list[str] = []
+        sure: list[np.ndarray] = []
+        for a in range(0, len(texts), 1_000):
+            part = texts[a : a + 1_000]
+            p = self._softmax(self._logits(*subwords(part), len(part)).astype(np.float64) * self.heat)
+            names += [self.names[i] for i in p.argmax(1)]
+            sure.append(p.max(1))
+        return names, np.concatenate(sure) if sure else np.zeros(0)
 
 
 _MASK = re.compile(r"\d+|(?<!^)\b[A-Z][\w'-]*")
@@ -196,7 +201,7 @@ def segments(documents: DataFrame, model: LanguageModel | None = None, confident
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + 500] for b in batches for i in range(0, len(b), 500)):
             cut = [sentences(t) for t in pdf["text"]]
             names, sure = model.predict([s for c in cut for s, _ in c]) if model else ([None] * sum(map(len, cut)), np.zeros(sum(map(len, cut))))
             out, k = [], 0
