@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.quantity import currency_of, period_of, read
 from siftlake.functions.trees import Forest
+from siftlake.operators.sampling import bounded_sample
 
 #: Rows at most on which the forests for missing units are fitted (a sample by hash of the id), and the calibrated
 #: confidence from which a missing unit is filled in; below it the row goes to review.
@@ -61,7 +62,7 @@ def fit_units(records: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, Forest]:
     Labels are what texts and columns state; the features that give the label away are blanked in half of the rows, so
     that the trees work with and without them. The sample is bounded and the same at any partitioning.
     """
-    sample = records.where("amount_text is not null").select(*FIELDS).orderBy(F.xxhash64(F.coalesce("id", F.lit(0))), "id", "amount_text").limit(rows).toPandas()
+    sample = bounded_sample(records.where("amount_text is not null").select(*FIELDS), "id", rows)
     models: dict[str, Forest] = {}
     for _, pdf, got in _parsed(sample.assign(income_limit_text=None)):
         x = features(pdf, "amount", [q.low for q in got], [q.high for q in got])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.operators import history, snapshots, units
+from siftlake.operators import history, records, snapshots, units
 from siftlake.plans import sql
 from siftlake.sources.tables import table
 
@@ -33,9 +33,43 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.page_changes(table(spark, d, "pages"), table(spark, d, "crawl_runs"))
 
 
+#: Queries of the record operators: what they run and the tables that they take.
+RECORDS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "url_identity": (records.url_identity, ("discovery_candidates",)),
+    "frontier": (records.frontier, ("discovery_candidates",)),
+    "crawl_plan": (records.crawl_plan, ("discovery_candidates",)),
+    "page_identity": (records.page_identity, ("pages",)),
+    "clean_lines": (records.clean_lines, ("pages",)),
+    "stated_dates": (records.stated_dates, ("pages",)),
+    "reuse_plan": (records.reuse_plan, ("pages",)),
+    "name_identity": (records.name_identity, ("scholarships",)),
+    "same_keys": (records.same_keys, ("scholarships",)),
+    "totals": (records.totals, ("scholarships",)),
+    "by_source_type": (records.by_source_type, ("scholarships",)),
+    "confidence_histogram": (records.confidence_histogram, ("scholarships",)),
+    "closing_cycles": (records.closing_cycles, ("scholarships",)),
+    "change_feed": (records.change_feed, ("changes", "scholarships")),
+    "real_changes": (records.real_changes, ("changes",)),
+    "run_outcomes": (records.run_outcomes, ("changes", "crawl_runs")),
+    "record_details": (records.record_details, ("scholarships", "changes", "pages")),
+    "evidence": (records.evidence, ("scholarships", "pages")),
+    "source_load": (records.source_load, ("sources", "scholarships")),
+}
+
+
+def search_grants(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 surest records that speak of grants."""
+    return records.search(table(spark, d, "scholarships"), "grant")
+
+
+def _of(run: Callable[..., DataFrame], tables: tuple[str, ...]) -> Query:
+    return lambda spark, d: run(*[table(spark, d, t) for t in tables])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_review, p3_found, p6_found)}
+    own = {f.__name__: f for f in (p1_found, p1_review, p3_found, p6_found, search_grants)}
+    return own | {k: _of(*v) for k, v in RECORDS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": sql.P3, "p6_found": sql.P6}
+    return {"p3_found": sql.P3, "p6_found": sql.P6} | sql.RECORDS

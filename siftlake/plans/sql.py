@@ -38,3 +38,46 @@ marked AS (SELECT *, lag(v) OVER w AS before, row_number() OVER w AS k FROM stat
 starts AS (SELECT *, lead(run) OVER (PARTITION BY id, field_name ORDER BY run) AS next FROM marked WHERE k = 1 OR before IS DISTINCT FROM v)
 SELECT id AS scholarship_id, field_name, v AS value_text, run AS from_run, coalesce(next - 1, -1) AS to_run FROM starts WHERE v IS NOT NULL
 """
+
+_HOST = r"""regexp_replace(regexp_extract({0}, '^[a-z]+://([^/?#:]*)', 1), '^www\.', '')"""
+_URL = CANON.replace("coalesce(url, final_url)", "url")
+_KEY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(name, '')), '\b20\d\d(\s?[-/]\s?(20)?\d\d)?\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'),
+  '\b(the|for|of|and|scholarship|scholarships|scheme|programme|program|award|grant|apply|online)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
+_TEXT = r"""trim(regexp_replace(coalesce(text, ''), '[\s\x{00A0}]+', ' ', 'g'))"""
+_FRONTIER = """SELECT run_id, canonical_url, min(candidate_id) AS candidate_id, arg_min(discovered_via, candidate_id) AS discovered_via, arg_min(depth, candidate_id) AS depth, count(*) AS times, max(relevance) AS best
+  FROM discovery_candidates WHERE canonical_url IS NOT NULL GROUP BY 1, 2"""
+
+RECORDS = {
+    "url_identity": f"""WITH a AS (SELECT candidate_id, {_URL} AS c FROM discovery_candidates)
+        SELECT candidate_id, {_HOST.format("c")} AS host, array_to_string(list_slice(string_split({_HOST.format("c")}, '.'), -2, -1), '.') AS site, c AS canonical, sha1(c) AS url_key FROM a""",
+    "frontier": _FRONTIER,
+    "crawl_plan": f"""SELECT * FROM (SELECT run_id, {_HOST.format("canonical_url")} AS host, CAST(row_number() OVER (PARTITION BY run_id, {_HOST.format("canonical_url")} ORDER BY best DESC NULLS LAST, candidate_id) AS INT) AS place, candidate_id, canonical_url
+        FROM ({_FRONTIER})) WHERE place <= 90""",
+    "page_identity": f"""WITH a AS (SELECT page_id, text, {_TEXT} AS t FROM pages)
+        SELECT page_id, left(sha1(t), 20) AS text_hash, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS INT) AS words,
+          CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '')) AS INT) AS lines FROM a""",
+    "clean_lines": r"""WITH a AS (SELECT page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s|]+|[\s|]+$', '', 'g')), lambda x: x <> '') AS f FROM pages WHERE text IS NOT NULL)
+        SELECT page_id, array_to_string(list_filter(f, lambda x, i: i = 1 OR x <> f[i - 1]), chr(10)) AS cleaned FROM a""",
+    "stated_dates": r"""WITH a AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(text, '\b20\d\d-\d\d-\d\d\b'), lambda x: try_cast(x AS DATE)), lambda x: x IS NOT NULL) AS d FROM pages)
+        SELECT page_id, CAST(len(d) AS INT) AS n, list_min(d) AS first_day, list_max(d) AS last_day FROM a WHERE len(d) > 0""",
+    "reuse_plan": f"""WITH s AS (SELECT run_id, {CANON} AS u, arg_max({_TEXT}, (fetched_at, page_id)) AS t FROM pages WHERE run_id IS NOT NULL GROUP BY 1, 2)
+        SELECT a.run_id, CAST(count(*) FILTER (WHERE a.t = b.t) AS BIGINT) AS reused, CAST(count(*) FILTER (WHERE a.t IS DISTINCT FROM b.t) AS BIGINT) AS fresh FROM s a LEFT JOIN s b ON b.run_id = a.run_id - 1 AND a.u = b.u GROUP BY 1""",
+    "name_identity": f"""WITH a AS (SELECT id, official_domain, {_KEY} AS k FROM scholarships)
+        SELECT id, k AS name_key, left(sha1(k || '|' || coalesce(official_domain, '')), 16) AS short_key, array_to_string(list_filter(string_split(k, ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$')), ' ') AS tokens FROM a""",
+    "same_keys": f"""SELECT {_KEY} AS name_key, official_domain, count(*) AS n, min(id) AS least_id FROM scholarships GROUP BY 1, 2 HAVING count(*) > 1""",
+    "totals": """SELECT count(*) AS records, count(DISTINCT provider) AS providers, count(closing_date) AS dated, count(*) FILTER (WHERE source_tier = 'T1') AS tier_one, count(amount_text) AS with_amount, round(avg(confidence), 1) AS mean_confidence FROM scholarships""",
+    "by_source_type": """SELECT source_type, count(*) AS n, count(closing_date) AS dated FROM scholarships GROUP BY 1""",
+    "confidence_histogram": """SELECT CAST(floor(least(confidence, 99.99) / 10) * 10 AS INT) AS bucket, count(*) AS n FROM scholarships WHERE confidence IS NOT NULL GROUP BY 1""",
+    "closing_cycles": """WITH a AS (SELECT CASE WHEN month(closing_date) >= 6 THEN year(closing_date) ELSE year(closing_date) - 1 END AS y FROM scholarships WHERE closing_date IS NOT NULL)
+        SELECT y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS cycle, count(*) AS n FROM a GROUP BY 1""",
+    "change_feed": """SELECT change_id, s.id, name, field_name, change_type, old_value, new_value, detected_at FROM changes c JOIN scholarships s ON c.scholarship_id = s.id""",
+    "real_changes": """SELECT run_id, field_name, count(*) AS n, CAST(sum(times) AS BIGINT) AS entries FROM (SELECT run_id, scholarship_id, field_name, old_value, new_value, count(*) AS times FROM changes WHERE change_type <> 'NEW' GROUP BY ALL) GROUP BY 1, 2""",
+    "run_outcomes": """SELECT r.run_id, r.label, count(*) FILTER (WHERE change_type = 'NEW') AS added, count(*) FILTER (WHERE change_type <> 'NEW') AS changed, count(DISTINCT scholarship_id) AS records FROM crawl_runs r LEFT JOIN changes c ON c.run_id = r.run_id GROUP BY 1, 2""",
+    "record_details": """WITH c AS (SELECT scholarship_id, count(*) AS n, max(detected_at) AS t, array_to_string(list_sort(list(DISTINCT field_name)), ',') AS fields FROM changes GROUP BY 1)
+        SELECT s.id, s.name, p.title AS page_title, coalesce(c.n, 0) AS n_changes, c.t AS last_change, coalesce(c.fields, '') AS fields FROM scholarships s LEFT JOIN c ON c.scholarship_id = s.id LEFT JOIN pages p ON p.page_id = s.primary_page_id""",
+    "evidence": """SELECT s.id, p.page_id, CAST(strpos(p.text, s.name) AS INT) AS begin, substring(p.text, greatest(strpos(p.text, s.name) - 60, 1), strpos(p.text, s.name) - greatest(strpos(p.text, s.name) - 60, 1)) AS before, s.name AS quote, substring(p.text, strpos(p.text, s.name) + length(s.name), 60) AS after
+        FROM scholarships s JOIN pages p ON p.page_id = s.primary_page_id WHERE strpos(p.text, s.name) > 0 AND s.name <> ''""",
+    "source_load": """SELECT s.domain, s.tier, s.authority, count(r.id) AS n FROM sources s LEFT JOIN scholarships r ON r.official_domain = s.domain GROUP BY 1, 2, 3""",
+    "search_grants": """SELECT id, name, provider, confidence FROM scholarships WHERE lower(coalesce(name, '')) LIKE '%grant%' OR lower(coalesce(provider, '')) LIKE '%grant%' OR lower(coalesce(benefit_text, '')) LIKE '%grant%' OR lower(coalesce(eligibility_text, '')) LIKE '%grant%'
+        ORDER BY confidence DESC NULLS LAST, id LIMIT 200""",
+}
