@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.operators.sampling import bounded_sample
+
 #: Labelled documents and sentences of them at most from which the model is trained (a sample by hash of doc_id), the
 #: buckets of subwords, their dimensions, and the calibrated confidence below which a sentence has no language.
 TRAIN_DOCS, TRAIN_SENTENCES, BUCKETS, WIDTH, CONFIDENT = 6_000, 16_000, 1 << 15, 16, 0.7
@@ -175,11 +177,8 @@ def voted(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def fit(documents: DataFrame, docs: int = TRAIN_DOCS, limit: int = TRAIN_SENTENCES) -> LanguageModel | None:
     """A model trained on a bounded sample of labelled documents; None if there is no labelled sentence."""
-    sample = (
-        documents.select("doc_id", "text", label_code(F.col("lang")).alias("code"))
-        .where("code is not null and length(text) > 40")
-        .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(docs).toPandas()
-    )
+    labelled = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where("code is not null and length(text) > 40")
+    sample = bounded_sample(labelled, "doc_id", docs, 11)
     rows = voted([(s, c) for t, c in zip(sample["text"], sample["code"]) for s, full in sentences(t) if full])
     rows = [rows[i] for i in np.random.default_rng(3).permutation(len(rows))[:limit]]
     return LanguageModel([s for s, _ in rows], [c for _, c in rows]) if rows else None
