@@ -316,8 +316,9 @@ class LineModel:
         ids = [get(x, -1) if not x[0].isdigit() else self.words.get("0", -1) for x in t]
         known = {self.single[i] for i in ids if i >= 0}
         known.update([k for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0 and (k := pair(a * n + b, -1)) >= 0])
-        known.add(self.shape.get(f"<{min(len(t), 12)}", -1))
-        if t:
+        known.discard(-1)
+        if known:
+            known.add(self.shape.get(f"<{min(len(t), 12)}", -1))
             known.add(self.shape.get("^" + ("0" if t[0][0].isdigit() else t[0]), -1))
         known.discard(-1)
         return tuple((self.weights[list(known)].sum(0) / len(known) ** 0.5).tolist()) if known else (0.0,) * len(self.names)
