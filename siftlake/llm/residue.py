@@ -16,17 +16,19 @@ from siftlake.llm.lines import CONTENT, ERROR, FILLER, FURNITURE, LineModel
 from siftlake.session import cut
 
 #: Canonical URLs on which a doubtful whole-page message must stand to count as an error template, and the margin of
-#: the classifier within which a message is doubtful.
-REPEATED, DOUBT = 5, 0.25
+#: the classifier within which a message is doubtful and beyond which a label is the site's own.
+REPEATED, DOUBT, FURNISHED = 5, 0.25, 2.0
 
 # Forms of unfilled slots, defaults left in labelled fields, words of filler text, tags that are no slots.
 SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]", r"\[INSERT [^\[\]\n]{1,60}\]",
-    r"<%[^<>\n]{1,60}%>", r"<\?(?:php|=)[^<>\n]{1,80}\?>", r"%\([A-Za-z_][\w. ]*\)s", r"%%[A-Za-z_][\w. ]*%%", r"@@[A-Za-z_][\w. ]*@@",
+    r"\{\{[^{}\n]+\}\}", r"\{%[^{}\n]+%\}", r"\$\{[^{}\n]+\}", r"\[\[[^\[\]\n]+\]\]", r"\[INSERT [^\[\]\n]+\]",
+    r"<%[^<>\n]+%>", r"<\?(?:php|=)[^\n]+?\?>", r"%\([A-Za-z_][\w. ]*\)s", r"%%[A-Za-z_][\w. ]*%%", r"@@[A-Za-z_][\w. ]*@@",
     r"(?<!\w)__[A-Za-z][\w.]*?__(?!\w)", r"(?<![\w#&])#[A-Za-z_][\w.]*#(?!\w)", r"\[object Object\]",
 )
-LOOSE = (r"\{[A-Za-z_][\w. -]{0,40}\}", r"\[[A-Za-z_][\w. -]{0,40}\]", r"<[A-Z][A-Z_. ]{1,40}>")
-DEFAULTS = r"(?:^|[:\-–]\s*)(?:Firstname Lastname|First Last|DD[/.-]MM[/.-]YYYY|YYYY-MM-DD|X{2,}(?:,X{2,})*(?: rupees)?|undefined|NaN)\s*\.?$|\bFirstname Lastname\b|\bX{2},X{3}\b"
+LOOSE = (r"\{[A-Za-z_][\w. -]*\}", r"\[[A-Za-z_][\w. -]*\]", r"<[A-Z][A-Z_. ]+>")
+DEFAULTS = r"(?:^|[:\-–]\s*)(?:Firstname Lastname|First Last|DD[/.-]MM[/.-]YYYY|YYYY-MM-DD|X{2,}(?:,X{2,})*(?: rupees)?|undefined|NaN)\s*\.?$|:\s*(?:NaN|undefined)\b|\bFirstname Lastname\b|\bX{2},X{3}\b"
+#: Values that are a default only where other records fill the field.
+WEAK = r"(?i:null|none|tbd|to be filled|0000-00-00|00[/.-]00[/.-]0000)\.?"
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit turpis lacus aliqua ornare morbi donec tortor varius felis velit quam mollis augue magna nulla vestib vestibulum sodal sodales sapien cursus purus eget nibh tempor incididunt labore et dolore sed do eiusmod".split())
 TAGS = frozenset("BR B I P DIV SPAN UL LI A TD TR TABLE HR EM STRONG H1 H2 H3 NOSCRIPT SCRIPT HTML BODY HEAD".split())
 
@@ -36,6 +38,10 @@ _DEFAULT = re.compile(DEFAULTS)
 _HINT = re.compile(r"[{}\[\]%@#<>]|__|X{2,}|DD[/.-]MM|YYYY|Firstname|\b(?:undefined|NaN|First Last)\b")
 _LATIN = re.compile(r"\b(?:lorem|ipsum|dolor|sapien|tortor|donec|velit|nulla|morbi)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_WEAK = re.compile(WEAK)
+_LABEL = re.compile(r"\s*([^\W\d_][^:.!?\n]*?)\s*:(?!//)\s*(.*?)\s*$")
+_OPEN = re.compile(rf"(?m:^[^:\n]*:\s*(?:{WEAK}|[A-Za-z]\w*)?\s*$)")
+_FIRST, _LAST = re.compile(r"\W*([^\W\d_]+)(?![\w\0-\2])"), re.compile(r"(?<![\w\0-\2])([^\W\d_]+)\W*$")
 _FRAME = re.compile(r"\d+|(?<![.!?] )(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
 
 
@@ -45,18 +51,39 @@ def model() -> LineModel:
     return LineModel({"furniture": FURNITURE, "content": CONTENT, "error": ERROR, "filler": FILLER})
 
 
-def slots(line: str) -> list[tuple[str, str, bool]]:
-    """The unfilled slots of a line: its frame (the line with slots, names and figures masked), the filler, and whether the form alone settles it."""
-    line = " ".join(line.split())
-    found = [(m[0], True) for m in _SLOT.finditer(line)]
+def masked(text: str) -> str:
+    """A text in lower case with \\2 for names and figures."""
+    return _FRAME.sub("\2", text).lower()
+
+
+def slots(line: str, above: str = "") -> list[tuple[str, str, bool]]:
+    """The unfilled slots of a line: its frame, the filler, and whether the form alone settles it.
+
+    The frame is the slot's number and the line with \\1 for slots, names and figures masked; a line of slots alone has
+    the masked line above it before it.
+    """
+    line = re.sub("[\0-\2]", "", " ".join(line.split()))
+    sure = [m[0] for m in _SLOT.finditer(line)]
     rest = _SLOT.sub("\0", line)
-    found += [(m[0], m[0][0] != "[" and " " not in m[0] or m[0].isupper() or "_" in m[0] or "." in m[0]) for m in _LOOSE.finditer(rest) if m[0][1:-1] not in TAGS]
-    if m := _DEFAULT.search(rest):
-        found.append((m[0], True))
-    if not found:
+    loose = [m[0] for m in _LOOSE.finditer(rest) if m[0][1:-1] not in TAGS]
+    default = _DEFAULT.search(rest)
+    if not (sure or loose or default):
         return []
-    frame = _FRAME.sub("_", _LOOSE.sub("\0", rest)).lower()
-    return [(f"{i} {frame}", x.lower(), sure) for i, (x, sure) in enumerate(found)]
+    frame = masked(_LOOSE.sub(lambda m: m[0] if m[0][1:-1] in TAGS else "\1", rest))
+    if not any(c.isalnum() for c in frame):
+        frame = f"{above}\n{frame}"
+    found, s, o = [], iter(sure), iter(loose)
+    for i, c in enumerate(c for c in frame.rpartition("\n")[2] if c in "\0\1"):
+        x = next(s if c == "\0" else o)
+        found.append((f"{i} {frame}", x.lower(), c == "\0" or _settled(x)))
+    if default:
+        found.append((f"{len(found)} {frame}", default[0].lower(), True))
+    return found
+
+
+def _settled(mark: str) -> bool:
+    """Whether a loose mark is a variable's by its form: no blank in braces or angles, capitals of a few words, a name with _ or a dot."""
+    return mark[0] != "[" and " " not in mark or mark.isupper() and len(mark.split()) <= 5 or "_" in mark or bool(re.search(r"\w\.\w", mark))
 
 
 class Reader:
@@ -84,12 +111,36 @@ class Reader:
             self.seen[raw] = got
         return got
 
+    def fields(self, lines: list[str]) -> Iterator[tuple[str, str]]:
+        """Frame and value of labelled fields that are blank, keep a weak default or the name of their variable.
+
+        A blank label has its value below it unless a label, furniture, a name or nothing comes next.
+        """
+        real = [" ".join(x.split()) for x in lines if x and not x.isspace()]
+        for k, x in enumerate(real):
+            if (m := _LABEL.match(x)) and len(m[1].split()) <= 8 and not ((got := self.line(f"{m[1]}:"))[0] == "furniture" and got[1] < -FURNISHED):
+                label, value = m[1], m[2]
+                name = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if re.fullmatch(r"[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+", value) else []
+                if not value:
+                    below = real[k + 1] if k + 1 < len(real) else None
+                    unfilled = below is None or bool((n := _LABEL.match(below)) and len(n[1].split()) <= 8) or self.line(below)[0] in ("furniture", "name")
+                else:
+                    unfilled = bool(_WEAK.fullmatch(value)) or bool({*name} & {*_WORD.findall(label.lower())})
+                if unfilled:
+                    yield f"{masked(label)}: \1", value.lower()
+
     def page(self, title: str | None, text: str | None) -> list[tuple[str, str, str, bool]]:
         """Evidence found on a page: kind (slot, filler, message), frame or body, filler, and whether it settles the page."""
         out = []
-        for part in (title, text):
+        for part, above in ((title, "\ttitle"), (text, "")):
             if part and _HINT.search(part):
-                out += [("slot", *s) for x in part.split("\n") if _HINT.search(x) for s in slots(x)]
+                for x in part.split("\n"):
+                    if _HINT.search(x):
+                        out += [("slot", *s) for s in slots(x, above)]
+                    if part is text and not x.isspace() and x:
+                        above = masked(" ".join(x.split()))
+        if text and _OPEN.search(text):
+            out += [("field", f"0 {frame}", filler, False) for frame, filler in self.fields(text.split("\n"))]
         if not text or text.isspace():
             return out
         body, programme, worst = [], 0, -9.0
@@ -108,12 +159,86 @@ class Reader:
         return out
 
 
+def plain(value: str) -> str:
+    """The words of a slot's value or filler."""
+    return " ".join(re.findall(r"[^\W_]+", value.lower()))
+
+
+class Aligner:
+    """Finds lines that fill the slots of given frames, two different values of each at most."""
+
+    def __init__(self, frames: list[str]):
+        self.first: dict[str, list[str]] = {}
+        self.last: dict[str, list[str]] = {}
+        self.below: dict[str, list[str]] = {}
+        self.other: list[str] = []
+        self.patterns: dict[str, re.Pattern] = {}
+        self.slot: dict[str, int] = {}
+        for key in frames:
+            i, frame = key.split(" ", 1)
+            above, sep, body = frame.rpartition("\n")
+            self.slot[key] = int(i)
+            self.patterns[key] = re.compile("".join("(.+?)" if x in "\0\1" else r"(?:\d+|[A-Z][\w'-]*(?: [A-Z][\w'-]*)*)" if x == "\2" else f"(?i:{re.escape(x).replace(':\\ ', r':\s?')})" for x in re.split("([\0\1\2])", body) if x))
+            if sep:
+                self.below.setdefault(above, []).append(key)
+            elif m := _FIRST.match(body):
+                self.first.setdefault(m[1], []).append(key)
+            elif m := _LAST.search(body):
+                self.last.setdefault(m[1], []).append(key)
+            else:
+                self.other.append(key)
+        self.values: dict[str, set[str]] = {k: set() for k in frames}
+        self.done: set[str] = set()
+
+    def page(self, title: str | None, text: str | None) -> Iterator[tuple[str, str]]:
+        if title and "\ttitle" in self.below:
+            yield from self._match(" ".join(title.split()), self.below["\ttitle"])
+        above = ""
+        for raw in (text or "").split("\n") if len(self.done) < len(self.values) else ():
+            if raw and not raw.isspace():
+                keys = [*self.other]
+                if self.first and (m := _FIRST.match(raw)):
+                    keys += self.first.get(m[1].lower(), ())
+                if self.last and (m := _LAST.search(raw)):
+                    keys += self.last.get(m[1].lower(), ())
+                if self.below:
+                    keys += self.below.get(above, ())
+                    above = masked(" ".join(raw.split()))
+                if keys:
+                    yield from self._match(" ".join(raw.split()), keys)
+
+    def _match(self, line: str, keys: list[str]) -> Iterator[tuple[str, str]]:
+        for key in keys:
+            if key not in self.done and (m := self.patterns[key].fullmatch(line)):
+                value = m[self.slot[key] + 1].strip()
+                words = plain(value)
+                if words and words not in self.values[key] and not (_SLOT.search(value) or _LOOSE.search(value) or _DEFAULT.search(line) or _WEAK.fullmatch(value)):
+                    self.values[key].add(words)
+                    if len(self.values[key]) > 1:
+                        self.done.add(key)
+                    yield key, words
+
+
+def filled(rows: DataFrame, open_slots: DataFrame) -> DataFrame:
+    """frame, value of lines that fill the slots of open_slots' frames. Frames are templates' and come to the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast([r.frame for r in open_slots.select("frame").distinct().collect()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aligner = Aligner(sent.value)
+        for pdf in batches if sent.value else ():
+            yield pd.DataFrame([x for ti, te in zip(pdf["title"], pdf["text"]) for x in aligner.page(ti, te)], columns=["frame", "value"])
+
+    return rows.select("title", "text").mapInPandas(run, "frame string, value string")
+
+
 def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
     """page_id of every page that has an unfilled slot (in text or title), filler, or a message in the programme's place.
 
-    Lines with slot-like marks are aligned by their frame, the line with marks, names and figures masked. Marks of a
-    template language are slots by their form. Loose ones (a bracketed word or words) are a slot if records with the
-    same frame fill it differently; one filler in all records is text of the page, such as a blank for the reader.
+    Marks of a template language are slots by their form, and so are defaults that no text has. Loose marks (a bracketed
+    word or words), blank labels, weak defaults and names of variables behind a label are aligned with the lines of all
+    pages by their frame, the line with slots, names and figures masked: they are slots if a record fills the frame,
+    and blanks meant for the reader if none does. This takes a second pass over the texts, of which only values of
+    frames that are open somewhere come out, two a frame and task.
     Filler lines and messages (errors, calls for scripts) are told by a small trained softmax; a message counts only
     where no line of programme text stands beside it, and a doubtful one only if the same body, names and figures
     masked, stands at `repeated` or more canonical URLs. Null and empty texts have only their title; status_code
@@ -124,16 +249,18 @@ def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(scorer)
         for pdf in batches:
-            rows = [(p, u, *e) for p, u, ti, te in zip(pdf["page_id"], pdf["canon"], pdf["title"], pdf["text"]) for e in dict.fromkeys(reader.page(ti, te))]
+            rows = [(p, u, k, frame, plain(x), sure) for p, u, ti, te in zip(pdf["page_id"], pdf["canon"], pdf["title"], pdf["text"]) for k, frame, x, sure in dict.fromkeys(reader.page(ti, te))]
             yield pd.DataFrame(rows, columns=["page_id", "canon", "kind", "frame", "filler", "sure"])
 
     rows = pages.select("page_id", F.xxhash64(canonical_url(F.coalesce("url", "final_url"))).alias("canon"), "title", "text").where("title is not null or text is not null")
     seen = rows.mapInPandas(run, "page_id bigint, canon bigint, kind string, frame string, filler string, sure boolean")
-    seen = cut(seen.withColumn("frame", F.xxhash64("frame")).withColumn("filler", F.xxhash64("filler")))
+    seen = cut(seen.withColumn("frame", F.when(F.expr("sure"), "").when(F.col("kind") == "message", F.xxhash64("frame").cast("string")).otherwise(F.col("frame"))))
     sure = seen.where("sure").select("page_id")
     loose = seen.where("not sure")
-    fills = seen.where("kind = 'slot'").select("frame", "filler").distinct().groupBy("frame").agg(F.count("*").alias("n")).where("n > 1")
+    unfilled = loose.where("kind = 'field'").select("page_id", "frame", "filler")
+    fills = seen.where("kind = 'slot' and not sure").select("frame", "filler").distinct().groupBy("frame").agg(F.count("*").alias("n")).where("n > 1")
     bodies = seen.where("kind = 'message'").select("frame", "canon").distinct().groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= repeated)
-    aligned = loose.where("kind = 'slot'").join(fills.select("frame"), "frame", "left_semi").select("page_id")
+    aligned = unfilled.join(filled(rows, unfilled), "frame").where("value <> filler").select("page_id")
+    aligned = aligned.unionAll(loose.where("kind = 'slot'").join(fills.select("frame"), "frame", "left_semi").select("page_id"))
     doubtful = loose.where("kind = 'message'").join(bodies.select("frame"), "frame", "left_semi").select("page_id")
     return sure.unionAll(aligned).unionAll(doubtful).distinct()
