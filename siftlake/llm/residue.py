@@ -257,10 +257,8 @@ def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
     seen = cut(seen.withColumn("frame", F.when(F.expr("sure"), "").when(F.col("kind") == "message", F.xxhash64("frame").cast("string")).otherwise(F.col("frame"))))
     sure = seen.where("sure").select("page_id")
     loose = seen.where("not sure")
-    unfilled = loose.where("kind = 'field'").select("page_id", "frame", "filler")
-    fills = seen.where("kind = 'slot' and not sure").select("frame", "filler").distinct().groupBy("frame").agg(F.count("*").alias("n")).where("n > 1")
+    unfilled = loose.where("kind in ('slot', 'field')").select("page_id", "frame", "filler")
     bodies = seen.where("kind = 'message'").select("frame", "canon").distinct().groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= repeated)
     aligned = unfilled.join(filled(rows, unfilled), "frame").where("value <> filler").select("page_id")
-    aligned = aligned.unionAll(loose.where("kind = 'slot'").join(fills.select("frame"), "frame", "left_semi").select("page_id"))
     doubtful = loose.where("kind = 'message'").join(bodies.select("frame"), "frame", "left_semi").select("page_id")
     return sure.unionAll(aligned).unionAll(doubtful).distinct()

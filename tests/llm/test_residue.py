@@ -19,3 +19,13 @@ def test_marks_of_any_length():
     long = "scheme." + "x" * 80
     for mark in ("{{%s}}", "${%s}", "[[%s]]", "<%%= %s %%>", "<?php echo $%s->title; ?>", "{%s}"):
         assert [(x, sure) for _, x, sure in residue.slots(f"Award of {mark % long} here")] == [(mark % long, True)]
+
+
+def test_loose_marks_that_other_records_fill(spark):
+    about = "The stipend stops during the summer break.\n"
+    texts = [f"{about}The award is {v} a year for {n} pupils." for v, n in (("[amount]", 9), ("[amount]", 12), ("Rs. 5,000", 40))]
+    texts += [f"{about}Write your name as {v} in the box." for v in ("[your name]", "[full name]", "[your name]")]
+    texts += [about + "Leave the box marked {office use} empty.", about + "Leave the box marked office use empty."]
+    texts += [f"{about}Given by\n{v}" for v in ("[Insert provider]", "Rimo Trust")]
+    texts += [about] * 2
+    assert found(spark, texts, {10: "[Scheme Name]", 11: "Rimo Tasa Travel Grant"}) == {0, 1, 8, 10}
