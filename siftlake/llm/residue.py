@@ -93,7 +93,7 @@ class Reader:
         self.scorer, self.seen = scorer, {}
 
     def line(self, raw: str) -> tuple[str, float]:
-        """Class of a line (name, heading, furniture, content, error, filler) and its margin over content."""
+        """Class of a line (name, heading, furniture, content, error, filler) and its margin over content. A line of unknown words alone is doubtful content."""
         if (got := self.seen.get(raw)) is None:
             if len(self.seen) >= 100_000:  # forgets, so that memory stays bounded
                 self.seen.clear()
@@ -106,7 +106,7 @@ class Reader:
             else:
                 a, b, c, d = self.scorer.score(x)
                 best = max(a, b, c, d)
-                kind = "furniture" if best == a else "content" if best == b else "error" if best == c else "filler"
+                kind = "content" if a == b == c == d else "furniture" if best == a else "content" if best == b else "error" if best == c else "filler"
                 got = kind, max(c, d) - max(a, b)
             self.seen[raw] = got
         return got

@@ -29,3 +29,8 @@ def test_loose_marks_that_other_records_fill(spark):
     texts += [f"{about}Given by\n{v}" for v in ("[Insert provider]", "Rimo Trust")]
     texts += [about] * 2
     assert found(spark, texts, {10: "[Scheme Name]", 11: "Rimo Tasa Travel Grant"}) == {0, 1, 8, 10}
+
+
+def test_repeated_pages_of_unknown_words(spark):
+    texts = ["Zufokalu wemipo qatrebu"] * residue.REPEATED + ["Vrilto gansu"] * (residue.REPEATED - 1) + ["The stipend stops during the summer break.\nZufokalu wemipo qatrebu"]
+    assert found(spark, texts) == set(range(residue.REPEATED))
