@@ -99,11 +99,44 @@ def _variants(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def _initialled(names: list[tuple[str, ...]], short: np.ndarray, full: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Index pairs (a in short, b in full) of two-word names in which an initial of a begins a word of b and the words left may be within the radius by their letters."""
+    if not len(short):
+        return
+    entries: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for b in full.tolist():
+        x, y = names[b]
+        entries[x[0]].append((b, y))
+        entries[y[0]].append((b, x))
+    table = {}
+    for c, rows in entries.items():
+        counts = np.zeros((len(rows), 27), np.int16)
+        for i, (_, w) in enumerate(rows):
+            for x in w:
+                counts[i, _LETTERS.get(x, 26)] += 1
+        table[c] = np.array([b for b, _ in rows]), counts, counts.sum(1), np.array([w[0] for _, w in rows])
+    for a in short.tolist():
+        for u, w in (names[a], names[a][::-1]):
+            if len(u) == 1 and u in table:
+                ids, counts, size, first = table[u]
+                begins = first == w[0]
+                if len(w) == 1:
+                    near = begins
+                else:
+                    own = np.zeros(27, np.int16)
+                    for x in w:
+                        own[_LETTERS.get(x, 26)] += 1
+                    near = (size == 1) & begins | (np.maximum(size, len(w)) - np.minimum(counts, own).sum(1) <= radius)
+                for b in ids[near].tolist():
+                    yield a, b
+
+
 def radius_pairs(names: list[tuple[str, ...]], left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Index pairs (a in left, b in right) of names within the radius, which is at most 3.
 
     Of two two-word names within it one word pair is within one edit, so an index of words without one letter meets
-    all of them. Other names are measured against all by letter counts, a lower bound of the edits, first.
+    all of them but those where that word is an initial, which are met by its letter. Other names are measured against
+    all by letter counts, a lower bound of the edits, first.
     """
     two = [len(n) == 2 for n in names]
     index: dict[str, list[int]] = defaultdict(list)
@@ -113,9 +146,15 @@ def radius_pairs(names: list[tuple[str, ...]], left: np.ndarray, right: np.ndarr
                 if len(w) > 1:
                     for v in _variants(w):
                         index[v].append(b)
+    short = np.array([t and min(map(len, n)) == 1 for t, n in zip(two, names)], bool)
+    lettered: dict[int, set[int]] = defaultdict(set)
+    for a, b in _initialled(names, left[short[left]], right[[two[b] for b in right.tolist()]], radius):
+        lettered[a].add(b)
+    for b, a in _initialled(names, right[short[right]], left[[two[a] for a in left.tolist()]], radius):
+        lettered[a].add(b)
     for a in left.tolist():
         if two[a]:
-            for b in {b for w in names[a] if len(w) > 1 for v in _variants(w) for b in index.get(v, ())}:
+            for b in {b for w in names[a] if len(w) > 1 for v in _variants(w) for b in index.get(v, ())} | lettered.get(a, set()):
                 if a != b and alike(names[a], names[b], radius) <= radius:
                     yield a, b
     odd = np.array([not t for t in two], bool)
