@@ -20,7 +20,7 @@ from siftlake.session import cut
 RADIUS, CELL, PIVOTS, SAMPLE, BLOCK = 2, 40_000, 32, 200, 20_000
 
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
-_SIGNATURE = "id bigint, sig bigint, space string, name string, own string, body string, letters string, label string, known boolean"
+_SIGNATURE = "id bigint, sig bigint, space string, name string, own string, body string, letters string, label string, known boolean, domain string"
 
 
 def _signatures(records: DataFrame) -> DataFrame:
@@ -41,16 +41,26 @@ def _signatures(records: DataFrame) -> DataFrame:
                 if (pkey := ("p", typed)) not in names:
                     names[pkey] = provider(typed)
                 q, p = names[key], names[pkey]
-                label = domain.split(".")[0].lower() if p is None and isinstance(domain, str) else ""
+                domain = domain.strip().lower().removeprefix("www.") if isinstance(domain, str) else ""
+                label = domain.split(".")[0] if p is None else ""
                 parts = (f"{q.kind}|{q.level}" if q.kind else "", " ".join(q.name), " ".join(p.name) if p else "", p.body if p else "", p.letters if p else "", label)
                 text = "\x1f".join(parts) + ("\x1f" + str(i) if p is None and not q.kind else "\x1e" if p is None else "")
                 sig = zlib.crc32(text.encode()) << 32 | zlib.crc32(text[::-1].encode())
-                out.append((i, sig - (1 << 64) if sig >= 1 << 63 else sig, *parts, p is not None))
-            yield pd.DataFrame(out, columns=["id", "sig", "space", "name", "own", "body", "letters", "label", "known"])
+                out.append((i, sig - (1 << 64) if sig >= 1 << 63 else sig, *parts, p is not None, domain))
+            yield pd.DataFrame(out, columns=["id", "sig", "space", "name", "own", "body", "letters", "label", "known", "domain"])
 
     return records.where("id is not null").select("id", "name", "provider", "official_domain").mapInPandas(run, _SIGNATURE)
 
 
+def _own_domains(rows: DataFrame) -> DataFrame:
+    """The signatures, with no domain where most rows of that domain that name a provider are not of one organisation: an index of many."""
+    label, own = F.split("domain", r"\.")[0], F.split("own", " ")
+    typed = F.when(F.least(*[F.levenshtein(F.array_join(x, ""), label) for x in (own, F.reverse(own))]) <= RADIUS, "").otherwise(F.concat_ws("|", F.array_join(F.array_sort(own), " "), "body"))
+    named = rows.where("known and letters = '' and domain <> ''").groupBy("domain", typed.alias("typed")).agg(F.count("*").alias("n"))
+    index = named.groupBy("domain").agg(F.max("n").alias("most"), F.sum("n").alias("all")).where("2 * most < all").select("domain", F.lit("").alias("none"))
+    return rows.drop("id").dropDuplicates(["sig"]).join(index, "domain", "left").withColumn("domain", F.coalesce("none", "domain")).drop("none")
+
+
 def _whole(name: str) -> bool:
     """Whether a name takes part in the metric as it stands: two full words or more, so that their order can be undone."""
     w = name.split()
@@ -197,7 +207,8 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
     A space is a kind of award and level of study, which must be equal; titles without a kind share one. Within it names
     are assigned to pivots and, where the triangle inequality demands it, to further cells; a cell too large for one task
     is joined block by block, so none is capped. sure is false where a provider is missing. Spaces are as many as there
-    are kinds and levels, so the pivots' sample is bounded.
+    are kinds and levels, so the pivots' sample is bounded. Two titles without provider are linked, surely, if their
+    domain is the same and one organisation's own.
     """
     spark = signatures.sparkSession
     names = signatures.select("space", "name").distinct()
@@ -217,7 +228,7 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
             at = [cells_of(s, n, sent.value, radius) for s, n in zip(pdf["space"], pdf["name"])]
             yield pdf.loc[np.repeat(np.arange(len(pdf)), [len(x) for x in at])].assign(cell=np.array([i for x in at for i in x], np.int32))
 
-    fields = "sig bigint, space string, name string, own string, body string, letters string, label string, known boolean"
+    fields = "sig bigint, space string, name string, own string, body string, letters string, label string, known boolean, domain string"
     placed = signatures.select(*[f.split()[0] for f in fields.split(", ")]).mapInPandas(place, fields + ", cell int")
     counts = placed.groupBy("space", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own_block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
@@ -227,7 +238,7 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [tuple(n.split()) for n in pdf["name"]]
         people = [Provider(tuple(o.split()), b, le) if k else None for o, b, le, k in zip(pdf["own"], pdf["body"], pdf["letters"], pdf["known"])]
-        labels, sigs = list(pdf["label"]), pdf["sig"].to_numpy()
+        labels, domains, sigs = list(pdf["label"]), list(pdf["domain"]), pdf["sig"].to_numpy()
         i, j, kind = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["space"].iloc[0]
         block = pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -247,6 +258,8 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
                 sure = bool(other and label) and same_provider(Provider((label,), "", ""), other, radius)
                 if sure or kind:
                     out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), sure))
+            elif domains[a] and domains[a] == domains[b]:
+                out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), True))
         return pd.DataFrame(sorted(out), columns=["a", "b", "sure"])
 
     return spread.groupBy("space", "cell", "i", "j").applyInPandas(join, "a bigint, b bigint, sure boolean").distinct()
@@ -269,11 +282,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(records: DataFrame, radius: int = RADIUS) -> DataFrame:
     """id, class of every named row: rows of the same programme have the same class (a programme alone is its own).
 
-    Rows spelled alike share a signature and so a class. A row without provider joins the class that its name and its
+    Rows spelled alike share a signature and so a class, but for titles without provider, which are linked by their domain. A row without provider joins the class that its name and its
     address's domain lead to, or its name alone if that leads to one class only. Rows without name have no class.
     """
     rows = cut(_signatures(records))
-    signatures = cut(rows.drop("id").dropDuplicates(["sig"]))
+    signatures = cut(_own_domains(rows))
     found = cut(links(signatures, radius))
     settled = components(found.where("sure"))
     label = signatures.select("sig", "known").join(settled, "sig", "left").select("sig", "known", F.coalesce("class", "sig").alias("class"), F.col("class").isNotNull().alias("settled"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from siftlake.llm import linking
 from siftlake.llm.linking import radius_pairs
 from siftlake.llm.names import alike
 
@@ -19,3 +20,12 @@ def test_radius_join_with_initials_against_all_pairs():
     assert {tuple(sorted(p)) for p in radius_pairs(names, every, every)} == near
     left, right = every[:60], every[60:]
     assert set(radius_pairs(names, left, right)) == {(i, j) for i in left for j in right if (i, j) in near}
+
+
+def test_titles_without_provider_are_linked_by_their_own_domain(spark):
+    rows = [(1, "Girl Child Progress Award", None, "vojajajolonu.ac.example"), (2, "Girl Child Progress Award 2025-26", None, "www.Vojajajolonu.ac.example"), (3, "Girl Chlid Progress Award", None, "vojajajolonu.ac.example")]
+    rows += [(4, "Girl Child Progress Award", None, "vojajajolonu.org.example"), (5, "Rural Talent Search Scheme", None, "vojajajolonu.ac.example"), (6, "Girl Child Progress Award", None, None), (7, "Girl Child Progress Award", None, None)]
+    rows += [(i, "Girl Child Progress Award", None, "scholar-index.example") for i in (8, 9)]
+    rows += [(20 + i, "Rimo Tasa Travel Grant for Diploma Students", p, "scholar-index.example") for i, p in enumerate(("Kilo Banu Research Council", "Mogogi Maroko Charitable Trust", "Toraji Patovo University"))]
+    got = {tuple(r) for r in linking.same_programme(spark.createDataFrame(rows, SCH)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
