@@ -18,6 +18,10 @@ from siftlake.operators.sampling import bounded_sample
 #: buckets of subwords, their dimensions, and the calibrated confidence below which a sentence has no language.
 TRAIN_DOCS, TRAIN_SENTENCES, BUCKETS, WIDTH, CONFIDENT = 6_000, 16_000, 1 << 15, 16, 0.7
 LENGTHS = (2, 3, 4)
+#: Letters, marks on letters included, that a closed sentence of fewer than four words has at least.
+LETTERS = 10
+#: Pieces of held-out sentences at most from which the confidence of such short ones is calibrated.
+SHORT_PIECES = 20_000
 
 # Codes and names of the languages that labels may give.
 NAMES = {
@@ -27,7 +31,9 @@ NAMES = {
 _CODES = {n: k for k, v in NAMES.items() for n in [k, *v.split()]}
 
 _PARAGRAPH = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*•–]|\d+[.)])\s)")
-_END = re.compile(r"(?<!\bRs)(?<!\brs)(?<!\bNo)(?<!\bDr)(?<!\bSmt)(?<!\bPt)(?<!\bMs)(?<!\bMr)(?<![\s(][A-Z])([.!?।॥…]+[\"'”’»)*_]*)(?=\s|$)")
+# Short forms whose dot ends no sentence.
+SHORT = "Rs rs No Nos Dr Smt Pt Ms Mr Mrs Shri Sri Prof Govt Dept approx ca vs e.g i.e Nr Hr Fr bzw z.B d.h Sr Sra núm Mme Mlle Fig Tel".split()
+_END = re.compile(r"(?=[.!?।॥…])" + "".join(rf"(?<!\b{re.escape(x)})" for x in SHORT) + r"(?<![\s(][A-Z])([.!?।॥…]+[\"'”’»)*_]*)(?=\s|$)")
 _NOISE = re.compile(r"[\d\W_]+", re.UNICODE)
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x2060, 0xFEFF])
 
@@ -39,8 +45,15 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(codes, base)
 
 
+def _letters(text: str) -> int:
+    return sum(unicodedata.category(c)[0] in "LM" for c in text)
+
+
 def sentences(text: str) -> list[tuple[str, bool]]:
-    """The stretches of a text in order, and whether each is a full sentence: closed by its mark and of four words or more."""
+    """The stretches of a text in order, and whether each is a full sentence: closed by its mark and of ten letters or four words.
+
+    Abbreviations are listed, so the minimum only keeps out crumbs; what is too doubtful the model's confidence rejects.
+    """
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(_INVISIBLE))
     out = []
@@ -50,7 +63,7 @@ def sentences(text: str) -> list[tuple[str, bool]]:
         for m in _END.finditer(part):
             s = part[begin : m.end()].strip()
             begin = m.end()
-            out.append((s, len(s.split()) >= 4))
+            out.append((s, len(s.split()) >= 4 or _letters(s) >= LETTERS))
         if rest := part[begin:].strip():
             out.append((rest, False))
     return [(s, full) for s, full in out if any(c.isalpha() for c in s)]
@@ -102,9 +115,18 @@ class LanguageModel:
             y = np.where(sure, p.argmax(1), y)
         test = np.flatnonzero(held) if held.any() else np.arange(len(texts))
         z = self._logits(ids, at, len(texts))[test]
+        self.held_out = float((z.argmax(1) == y[test]).mean())
         loss = {t: -np.log(self._softmax(z * t)[np.arange(len(test)), y[test]] + 1e-9).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
         self.heat = min(loss, key=loss.get)
-        self.held_out = float((z.argmax(1) == y[test]).mean())
+        # short texts tell less: they have a temperature of their own, from pieces of the texts held out
+        words = [(texts[i].split(), y[i]) for i in test]
+        parts = [(" ".join(w[k : k + n]), v) for w, v in words for n in (1, 2, 3) for k in range(0, len(w) - n + 1, 4)][:SHORT_PIECES]
+        parts = [(t, v) for t, v in parts if _letters(t) >= LETTERS]
+        self.short_heat = self.heat
+        if parts:
+            z, v = self._logits(*subwords([t for t, _ in parts]), len(parts)), np.array([v for _, v in parts])
+            loss = {t: -np.log(self._softmax(z * t)[np.arange(len(v)), v] + 1e-9).mean() for t in (0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0) if t <= self.heat}
+            self.short_heat = min(loss, key=loss.get)
 
     def _train(self, ids, bounds, y, rows, epochs, rng):
         k = len(self.names)
@@ -153,7 +175,8 @@ class LanguageModel:
         sure: list[np.ndarray] = []
         for a in range(0, len(texts), 1_000):
             part = texts[a : a + 1_000]
-            p = self._softmax(self._logits(*subwords(part), len(part)).astype(np.float64) * self.heat)
+            heat = np.array([self.heat if len(t.split()) >= 4 else self.short_heat for t in part])[:, None]
+            p = self._softmax(self._logits(*subwords(part), len(part)).astype(np.float64) * heat)
             names += [self.names[i] for i in p.argmax(1)]
             sure.append(p.max(1))
         return names, np.concatenate(sure) if sure else np.zeros(0)
