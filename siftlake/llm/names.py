@@ -127,21 +127,39 @@ class Provider(NamedTuple):
 
 
 def provider(text: str | None) -> Provider | None:
-    """The parts of an organisation's typed name, without a place added to it; None where there is none."""
+    """The parts of an organisation's typed name; None where there is none.
+
+    A place added to it is dropped by its position: in brackets, behind a comma that follows the body, or right behind a
+    body that two words or more precede. All words of the name are kept.
+    """
     raw = re.sub(r"\([^)]*\)", " ", text or "").strip()
     if not raw:
         return None
     head = re.sub(r"[^A-Za-z]", "", raw.split(",")[0])
     if head.isupper() and 3 <= len(head) <= 7 and " " not in raw.split(",")[0].strip():
         return Provider((), "", head.lower())
-    t = words(raw)
+    parts = [words(x) for x in raw.split(",")]
+    t, at = [w for x in parts for w in x], [i for i, x in enumerate(parts) for _ in x]
     hits = [(w[0], -len(p), p, w) for p in BODIES if (w := _window(t, p, 2 if len(p) > 10 else 1))]
-    body = ""
-    if hits:
-        _, _, body, (_, a, b) = min(hits)
-        t = t[:a] + t[b:]
-    t = [spoken(w) for w in t if w not in TITLES and w != "of"]
-    return Provider(tuple(t[:2]), body, "")
+    if not hits:
+        parts = [y for x in parts if (y := _plain(x))]
+        kept = parts[:-1] if len(parts) > 1 and len(parts[-2]) > 1 else parts  # "Rimo, Tasa Fund" is a name turned round
+        return Provider(tuple(w for x in kept for w in x), "", "")
+    _, _, body, (_, a, b) = min(hits)
+    before, same = _plain(t[:a]), [w for w, i in zip(t[b:], at[b:]) if i == at[b - 1]]
+    later = [y for i in range(at[b - 1] + 1, len(parts)) if (y := _plain(parts[i]))]
+    if before:  # what stands behind the body is a place, unless it goes on with the name
+        goes_on = len(before) == 1 or same[:1] in (["of"], ["for"], ["and"])
+        name = before + (_plain(same) if goes_on else [])
+    elif _plain(same):
+        name = _plain(same)
+    else:
+        name = [w for x in (later if [len(x) for x in later] == [1, 1] else later[:1]) for w in x]
+    return Provider(tuple(name), body, "")
+
+
+def _plain(tokens: list[str]) -> list[str]:
+    return [spoken(w) for w in tokens if w not in TITLES and w != "of"]
 
 
 def alike(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> int:
@@ -181,4 +199,17 @@ def same_provider(a: Provider, b: Provider, radius: int = 2) -> bool:
         tail = "".join(w[0] for w in full.body.split() if w != "of")
         head = letters[: -len(tail)]
         return letters.endswith(tail) and (sorted(head) == sorted(w[0] for w in full.name) if len(full.name) > 1 else head[:1] == full.name[0][:1] if full.name else False)
-    return (a.body == b.body or not a.body or not b.body) and alike(a.name, b.name, radius) <= radius
+    if a.body and b.body:
+        return a.body == b.body and _same_words(a.name, b.name, radius)
+    bare, full = (b, a) if a.body else (a, b)  # a body typed too badly to be told stands behind the name's words
+    n = len(full.name)
+    return _same_words(a.name, b.name, radius) or bool(full.body) and len(bare.name) > n and _same_words(bare.name[:n], full.name, radius) and distance("".join(bare.name[n:]), spoken(full.body.replace(" ", "")), 4) <= 4
+
+
+def _same_words(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> bool:
+    """Whether two own names are alike; in longer ones too a word of one letter stands for any that begins with it."""
+    if alike(a, b, radius) <= radius:
+        return True
+    if len(a) != len(b) or len(a) < 3:
+        return False
+    return sum((u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, radius) for u, v in zip(a, b)) <= radius
