@@ -22,6 +22,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "pages"))
 
 
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What shows that a page carries residue: aligned slots, notations, whole-page templates, filler, messages."""
+    return residue.evidence(table(spark, d, "pages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of pages that are site furniture."""
     return boilerplate.page_furniture(table(spark, d, "pages"))
@@ -78,7 +83,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_bodies, p7_found, p7_texts, p8_ids, p8_counts, p9_found, p9_spans, p10_found, p10_segments, p10_documents)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_evidence, p5_found, p5_bodies, p7_found, p7_texts, p8_ids, p8_counts, p9_found, p9_spans, p10_found, p10_segments, p10_documents)}
 
 
 P7 = r"""

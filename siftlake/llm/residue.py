@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +17,16 @@ from pyspark.sql import functions as F
 from siftlake.functions.urls import canonical_url
 from siftlake.llm.boilerplate import is_name
 from siftlake.llm.lines import CONTENT, ERROR, FILLER, FURNITURE, LineModel
+from siftlake.operators.joins import hot_join
 from siftlake.session import cut
 
-#: Canonical URLs on which a doubtful whole-page message must stand to count as an error template, and the margin of
-#: the classifier within which a message is doubtful and beyond which a label is the site's own.
-REPEATED, DOUBT, FURNISHED = 5, 0.25, 2.0
+#: Canonical URLs on which a whole-page template must stand to count as repeated, sentences from which a page is a
+#: programme's and its sentences are no message, and the margin of the classifier beyond which a label is the site's own.
+REPEATED, FULL, FURNISHED = 5, 6, 2.0
+#: The chance allowed for a programme's sentence to stand by accident on none of the fuller pages.
+ACCIDENT = 1e-3
+#: Frames that one further pass over the pages aligns; more frames take more passes.
+BLOCK = 20_000
 
 # Forms of unfilled slots, defaults left in labelled fields, words of filler text, tags that are no slots.
 SLOTS = (
@@ -43,6 +52,9 @@ _LABEL = re.compile(r"\s*([^\W\d_][^:.!?\n]*?)\s*:(?!//)\s*(.*?)\s*$")
 _OPEN = re.compile(rf"(?m:^[^:\n]*:\s*(?:{WEAK}|[A-Za-z]\w*)?\s*$)")
 _FIRST, _LAST = re.compile(r"\W*([^\W\d_]+)(?![\w\0-\2])"), re.compile(r"(?<![\w\0-\2])([^\W\d_]+)\W*$")
 _FRAME = re.compile(r"\d+|(?<![.!?] )(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
+_SENTENCE = re.compile(r"(?<=[.!?।…])\s+")
+_VARYING = re.compile(r"\S*\d\S*|[\w-]+(?:\.[\w-]+)+|(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
+_INNER = re.compile(r"[^\W\d_][\w. >-]*")
 
 
 @cache
@@ -90,7 +102,7 @@ class Reader:
     """Reads pages one after the other and keeps what it found out about lines that come again."""
 
     def __init__(self, scorer: LineModel):
-        self.scorer, self.seen = scorer, {}
+        self.scorer, self.seen, self.framed = scorer, {}, {}
 
     def line(self, raw: str) -> tuple[str, float]:
         """Class of a line (name, heading, furniture, content, error, filler) and its margin over content. A line of unknown words alone is doubtful content."""
@@ -129,8 +141,17 @@ class Reader:
                 if unfilled:
                     yield f"{masked(label)}: \1", value.lower()
 
+    def frames(self, raw: str) -> tuple[tuple[int, int], ...]:
+        """Numbers of the frames of a line's sentences, figures, names and addresses masked, and of the frames' last three words."""
+        if (got := self.framed.get(raw)) is None:
+            if len(self.framed) >= 100_000:
+                self.framed.clear()
+            parts = (_VARYING.sub("\2", x).lower() for x in _SENTENCE.split(" ".join(raw.split())))
+            got = self.framed[raw] = tuple((number(x), number("\3" + " ".join(x.split()[-3:]))) for x in parts if x)
+        return got
+
     def page(self, title: str | None, text: str | None) -> list[tuple[str, str, str, bool]]:
-        """Evidence found on a page: kind (slot, filler, message), frame or body, filler, and whether it settles the page."""
+        """Evidence found on a page: kind (slot, field, filler, message), frame, filler, and whether its form alone settles it."""
         out = []
         for part, above in ((title, "\ttitle"), (text, "")):
             if part and _HINT.search(part):
@@ -141,22 +162,32 @@ class Reader:
                         above = masked(" ".join(x.split()))
         if text and _OPEN.search(text):
             out += [("field", f"0 {frame}", filler, False) for frame, filler in self.fields(text.split("\n"))]
-        if not text or text.isspace():
-            return out
-        body, programme, worst = [], 0, -9.0
-        for raw in text.split("\n"):
+        return out
+
+    def body(self, text: str | None) -> tuple[str, set[tuple[int, int]], int]:
+        """What stands where a programme's text should: filler, message or nothing by the classifier; frames of all its sentences; their number."""
+        kind, frames, programme, said, n = "", [], 0, -9.0, 0
+        for raw in (text or "").split("\n"):
             if raw and not raw.isspace():
-                kind, margin = self.line(raw)
-                if kind == "filler" and margin > 0:
-                    out.append(("filler", "", "", True))
-                if kind == "error" or kind == "content" and margin > -DOUBT:
-                    body.append(raw)
-                    worst = max(worst, margin)
-                elif kind == "content":
+                got, margin = self.line(raw)
+                if got == "filler" and margin > 0:
+                    kind = "filler"
+                if got not in ("furniture", "name"):
+                    mine = self.frames(raw)
+                    n += len(mine)
+                    frames.append(mine)
+                if got == "error":
+                    said = max(said, margin)
+                elif got == "content":
                     programme += 1
-        if body and not programme:
-            out.append(("message", " ".join(_FRAME.sub("_", " ".join(b.split())).lower() for b in body), "", worst > 0))
-        return out
+        if said > 0 and not programme:
+            kind = kind or "message"
+        return kind, {f for x in frames for f in x}, n
+
+
+def number(text: str) -> int:
+    """A text's number of 64 bits."""
+    return struct.unpack("<q", blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
 
 
 def plain(value: str) -> str:
@@ -219,46 +250,107 @@ class Aligner:
                     yield key, words
 
 
-def filled(rows: DataFrame, open_slots: DataFrame) -> DataFrame:
-    """frame, value of lines that fill the slots of open_slots' frames. Frames are templates' and come to the driver."""
-    sent = rows.sparkSession.sparkContext.broadcast([r.frame for r in open_slots.select("frame").distinct().collect()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(sent.value)
-        for pdf in batches if sent.value else ():
-            yield pd.DataFrame([x for ti, te in zip(pdf["title"], pdf["text"]) for x in aligner.page(ti, te)], columns=["frame", "value"])
-
-    return rows.select("title", "text").mapInPandas(run, "frame string, value string")
+def filled(rows: DataFrame, open_slots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """frame, value of lines that fill the slots of open_slots' frames, by passes over the rows for `block` frames at a time.
 
-
-def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
-    """page_id of every page that has an unfilled slot (in text or title), filler, or a message in the programme's place.
-
-    Marks of a template language are slots by their form, and so are defaults that no text has. Loose marks (a bracketed
-    word or words), blank labels, weak defaults and names of variables behind a label are aligned with the lines of all
-    pages by their frame, the line with slots, names and figures masked: they are slots if a record fills the frame,
-    and blanks meant for the reader if none does. This takes a second pass over the texts, of which only values of
-    frames that are open somewhere come out, two a frame and task.
-    Filler lines and messages (errors, calls for scripts) are told by a small trained softmax; a message counts only
-    where no line of programme text stands beside it, and a doubtful one only if the same body, names and figures
-    masked, stands at `repeated` or more canonical URLs. Null and empty texts have only their title; status_code
-    plays no part. Evidence, not texts, is shuffled, and aggregated before it is.
+    Frames are templates', not pages'; a pass holds a bounded number of them, and tasks give two values a frame at most.
+    """
+    frames = cut(open_slots.select("frame").distinct())
+    n = frames.count()
+    parts = max(1, -(-n // block))
+    out = None
+    for i in range(parts):
+        sent = rows.sparkSession.sparkContext.broadcast([r.frame for r in frames.where(F.pmod(F.xxhash64("frame"), F.lit(parts)) == i).collect()] if n else [])
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            aligner = Aligner(sent.value)
+            for pdf in batches if sent.value else ():
+                yield pd.DataFrame([(f, number(v)) for ti, te in zip(pdf["title"], pdf["text"]) for f, v in aligner.page(ti, te)], columns=["frame", "value"])
+
+        got = rows.select("title", "text").mapInPandas(run, "frame string, value bigint") if n else rows.select(F.lit("").alias("frame"), F.lit(0).cast("bigint").alias("value")).limit(0)
+        out = got if out is None else out.unionAll(got)
+    return out
+
+
+_FOUND = "page_id bigint, canon bigint, kind string, frame string, key bigint, value bigint, style bigint, sure boolean"
+
+
+def evidence(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
+    """page_id, evidence: what shows that a page carries residue, a row for each kind of evidence that it has.
+
+    Lines with a mark or default are aligned by their frame, the line with marks, names and figures masked.
+    `slot`: the frame's slot holds different fillers over the pages, this one a variable's name or a default. `notation`:
+    the frame is too rare for that, but marks of the same punctuation hold different names in different frames, so it is
+    a template language's. `filled`: a loose mark (bracketed words), a blank label, a weak default or a name of a
+    variable behind a label, whose frame another page fills with a value; where none does it is a blank meant for the
+    reader. `form`: a mark of a template language that nothing can be aligned with.
+    `template`: the page has no more than FULL - 1 sentences besides furniture, all of frames that stand on no fuller
+    page (so none is a programme's) and on `repeated` canonical URLs each, or on more where fuller pages are so few that
+    this could be by accident: a whole-page template, whatever its wording; the same holds for the frames' last three words. `filler` and `message`: filler lines, and messages without a line of programme text beside them, told by a
+    small trained softmax.
+    Null and empty texts have only their title; status_code plays no part. Only numbers, frames with marks and two
+    values of an open frame and task are shuffled; a page of a hot template is joined by broadcast.
     """
     scorer = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(scorer)
+        full: set[int] = set()
         for pdf in batches:
-            rows = [(p, u, k, frame, plain(x), sure) for p, u, ti, te in zip(pdf["page_id"], pdf["canon"], pdf["title"], pdf["text"]) for k, frame, x, sure in dict.fromkeys(reader.page(ti, te))]
-            yield pd.DataFrame(rows, columns=["page_id", "canon", "kind", "frame", "filler", "sure"])
+            rows, told = [], np.zeros(2, np.int64)
+            for p, u, ti, te in zip(pdf["page_id"], pdf["canon"], pdf["title"], pdf["text"]):
+                for k, frame, x, sure in dict.fromkeys(reader.page(ti, te)):
+                    rows.append((p, u, k, frame, number(frame.replace("\0", "\1")), number(plain(x)), number(_INNER.sub("x", x)) if sure else 0, sure))
+                kind, frames, n = reader.body(te)
+                if kind:
+                    rows.append((p, u, kind, "", 0, 0, 0, True))
+                told += n >= FULL, n > 0
+                if n >= FULL:
+                    new = {f for pair in frames for f in pair} - full
+                    full |= new
+                    rows += [(0, 0, "full", "", f, 0, 0, True) for f in new]
+                elif n:
+                    whole = number(" ".join(map(str, sorted(frames))))
+                    rows += [(p, u, "short", "", f, whole, tail, True) for f, tail in frames]
+            rows.append((0, 0, "pages", "", *map(int, told), 0, True))
+            if len(full) > 200_000:  # forgets, so that memory stays bounded
+                full = set()
+            yield pd.DataFrame(rows, columns=["page_id", "canon", "kind", "frame", "key", "value", "style", "sure"])
 
     rows = pages.select("page_id", F.xxhash64(canonical_url(F.coalesce("url", "final_url"))).alias("canon"), "title", "text").where("title is not null or text is not null")
-    seen = rows.mapInPandas(run, "page_id bigint, canon bigint, kind string, frame string, filler string, sure boolean")
-    seen = cut(seen.withColumn("frame", F.when(F.expr("sure"), "").when(F.col("kind") == "message", F.xxhash64("frame").cast("string")).otherwise(F.col("frame"))))
-    sure = seen.where("sure").select("page_id")
-    loose = seen.where("not sure")
-    unfilled = loose.where("kind in ('slot', 'field')").select("page_id", "frame", "filler")
-    bodies = seen.where("kind = 'message'").select("frame", "canon").distinct().groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= repeated)
-    aligned = unfilled.join(filled(rows, unfilled), "frame").where("value <> filler").select("page_id")
-    doubtful = loose.where("kind = 'message'").join(bodies.select("frame"), "frame", "left_semi").select("page_id")
-    return sure.unionAll(aligned).unionAll(doubtful).distinct()
+    seen = cut(rows.mapInPandas(run, _FOUND))
+    said = lambda df, kind: df.select("page_id", F.lit(kind).alias("evidence"))
+
+    marks = seen.where("sure and kind = 'slot'")
+    by = lambda *k: marks.groupBy(*k).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n"))
+    aligned = hot_join(marks.select("page_id", "key", "style"), by("key").select("key", "n", (F.col("lo") != F.col("hi")).alias("slot")), "key")
+    noted = hot_join(aligned, by("style").select("style", "n", ((F.col("lo") != F.col("hi")) & (F.col("a") != F.col("b"))).alias("notation")), "style")
+    of_marks = noted.select("page_id", F.when(F.col("slot"), "slot").when(F.col("notation"), "notation").otherwise("form").alias("evidence"))
+
+    unfilled = cut(seen.where("not sure").select("page_id", "frame", F.col("value").alias("filler")))
+    fills = filled(rows, unfilled).distinct()
+    sizes = unfilled.groupBy("frame").agg(F.count("*").alias("n"), F.min("filler").alias("lo"), F.max("filler").alias("hi"))
+    some = fills.join(sizes, "frame").where("value <> lo or value <> hi").groupBy("frame").agg(F.max("n").alias("n"), F.min("value").alias("v"), F.max("value").alias("w"))
+    of_fields = hot_join(unfilled, some, "frame").where("v <> filler or w <> filler")
+
+    short = seen.where("kind = 'short'").select("page_id", "canon", "key", F.col("value").alias("whole"), "style")
+    known = seen.where("kind = 'full'").select("key").distinct().withColumn("known", F.lit(True))
+    fuller, every = seen.where("kind = 'pages'").agg(F.coalesce(F.sum("key"), F.lit(0)), F.coalesce(F.sum("value"), F.lit(0))).first()
+    share = min(fuller / every, 0.999) if every else 0.0
+    least = max(repeated, math.ceil(math.log(ACCIDENT) / math.log(1 - share))) if share else 1 << 62
+    told = []
+    for key in ("key", "style"):  # the frame itself, then its last words, which frames of one template share
+        frames = short.select(F.col(key).alias("key"), "canon").distinct().groupBy("key").agg(F.count("*").alias("urls")).join(known, "key", "left")
+        bodies = short.groupBy("whole", F.col(key).alias("key")).agg(F.count("*").alias("n"))
+        by_body = bodies.join(frames, "key").groupBy("whole").agg(F.max("n").alias("n"), F.max(F.coalesce("known", F.lit(False))).alias("known"), F.min("urls").alias("urls"))
+        told.append(by_body.where((F.col("urls") >= least) & ~F.col("known")).select("whole", "n"))
+    templates = told[0].unionAll(told[1]).groupBy("whole").agg(F.max("n").alias("n"))
+    of_templates = hot_join(short.select("page_id", "whole").distinct(), templates, "whole")
+
+    by_class = seen.where("kind in ('filler', 'message')").select("page_id", F.col("kind").alias("evidence"))
+    return of_marks.unionAll(said(of_fields, "filled")).unionAll(said(of_templates, "template")).unionAll(by_class).distinct()
+
+
+def residue(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
+    """page_id of every page that has an unfilled slot (in text or title), filler, or a message in the programme's place; see evidence()."""
+    return evidence(pages, repeated).select("page_id").distinct()

@@ -1,5 +1,6 @@
 from siftlake.llm import residue
 
+ABOUT = "\n".join(["The stipend stops during the summer break.", "Two reference letters are needed.", "Late forms are not entertained.", "Interviews can be held by video.", "Wards of staff are not eligible.", "Calls are answered on working days."])
 PAGES = "page_id bigint, url string, final_url string, title string, text string"
 
 
@@ -32,5 +33,35 @@ def test_loose_marks_that_other_records_fill(spark):
 
 
 def test_repeated_pages_of_unknown_words(spark):
-    texts = ["Zufokalu wemipo qatrebu"] * residue.REPEATED + ["Vrilto gansu"] * (residue.REPEATED - 1) + ["The stipend stops during the summer break.\nZufokalu wemipo qatrebu"]
+    texts = ["Zufokalu wemipo qatrebu"] * residue.REPEATED + ["Vrilto gansu"] * (residue.REPEATED - 1) + ["The stipend stops during the summer break.\nZufokalu wemipo qatrebu"] + [ABOUT] * 40
     assert found(spark, texts) == set(range(residue.REPEATED))
+
+
+
+def kinds(spark, texts):
+    rows = [(i, f"https://s.example/p{i}", None, None, t) for i, t in enumerate(texts)]
+    got = {}
+    for p, e in residue.evidence(spark.createDataFrame(rows, PAGES)).collect():
+        got.setdefault(p, set()).add(e)
+    return got
+
+
+def test_marks_are_settled_by_alignment(spark):
+    texts = [f"{ABOUT}\nSelected pupils receive {m} each." for m in ("{{amount}}", "%%deadline%%")]
+    texts += [f"{ABOUT}\n{line}" for line in ("Zonal camp at {{venue}} only.", "Books worth ${price} are given.")]
+    assert kinds(spark, texts) == {0: {"slot"}, 1: {"slot"}, 2: {"notation"}, 3: {"form"}}
+
+
+def test_whole_page_templates_are_told_by_their_frames(spark):
+    odd = [f"Vrilto gansu\nZufokalu wemipo qatrebu {x}7." for x in "abcdefgh"]
+    tails = [f"The {w} of this place is zur mekolt." for w in ("sum", "note", "sheet", "kern", "tip", "bill", "sign", "rule")]
+    full = [ABOUT + "\nVrinto kelso damun.", "Vrinto kelso damun.", ABOUT] + ["Two reference letters are needed."] * 8 + [ABOUT] * 40
+    got = kinds(spark, odd + tails + full)
+    assert got == {i: {"template"} for i in range(16)}
+
+
+def test_frames_in_blocks_give_the_same(spark):
+    rows = spark.createDataFrame([(None, "Given [a b] to x.\nGiven 5 to x."), (None, "Sent [c d] by y.\nSent z by y.")], "title string, text string")
+    open_slots = spark.createDataFrame([("0 given \1 to x.",), ("0 sent \1 by y.",)], "frame string")
+    want = {tuple(r) for r in residue.filled(rows, open_slots).collect()}
+    assert len(want) == 2 and {tuple(r) for r in residue.filled(rows, open_slots, block=1).collect()} == want
