@@ -10,7 +10,7 @@ from siftlake.llm.linking import RADIUS, cells_of, pivots_of, radius_pairs
 from siftlake.llm.names import alike, programme, provider, same_provider
 from siftlake.llm.residue import Reader, slots
 from siftlake.llm.residue import model as residue_model
-from siftlake.llm.sitelines import TemplateTree
+from siftlake.llm.sitelines import TemplateTrees
 
 
 def test_bpe_equals_public_library():
@@ -99,10 +99,13 @@ def test_residue():
     assert not sure(None, None) and not sure("x", "")
 
 
-def test_template_tree():
-    t = TemplateTree()
-    assert t.parse("Visitors:  12") == TemplateTree().parse("visitors: 9981 ") != t.parse("Visitors: many")
-    assert t.parse("  ") == 0
+def test_template_trees():
+    t, u = TemplateTrees(), TemplateTrees()
+    assert t.parse("s", "Visitors:  12", 5) == t.parse("s", "visitors: 9981 ", 6) != t.parse("s", "Visitors: many", 5)
+    assert t.parse("s", "  ") == 0 and t.parse("z", "Visitors: 1") not in (1, 2)
+    u.parse("s", "back to top")
+    u.parse("s", "VISITORS: 7")
+    assert t.templates[0] == u.templates[1] and t.places[0] == {5, 6}
 
 
 def test_names():
