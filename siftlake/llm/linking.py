@@ -2,52 +2,50 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from siftlake.llm.names import Provider, alike, initials, programme, provider, same_provider
+from siftlake.llm.metric import radius_join
+from siftlake.llm.names import Provider, alike, initials, programme, provider, same_provider, sounded
+from siftlake.operators.joins import hot_join
 from siftlake.session import cut
 
-#: Radius of the joins (edits between two names), names that a pivot's cell is meant to hold, pivots of a space at most,
-#: names sampled from a space for them, and names that one task takes from either side of a join.
-RADIUS, CELL, PIVOTS, SAMPLE, BLOCK = 2, 40_000, 32, 200, 20_000
+#: Edits by which two typed names of one thing may differ (an exchange of neighbours is one edit), and the radius of the
+#: joins that find them, in which an exchange is two.
+RADIUS, REACH = 2, 3
 
-_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
-_SIGNATURE = "id bigint, sig bigint, space string, name string, own string, body string, letters string, label string, known boolean, domain string"
+_SIGNATURE = "id bigint, sig string, space string, name string, own string, body string, letters string, short string, label string, known boolean, domain string"
+_PARTS = ("sig", "space", "name", "own", "body", "letters", "short", "label", "known", "domain")
 
 
 def _signatures(records: DataFrame) -> DataFrame:
-    """id and the parts of each row's name and provider; sig numbers rows whose parts are the same."""
+    """id and the parts of each row's name and provider; sig, of 128 bits, numbers rows whose parts are the same."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: dict[str | None, object] = {}
+        names: dict[tuple[str, str | None], object] = {}
         for pdf in batches:
             out = []
             for i, name, typed, domain in zip(pdf["id"], pdf["name"], pdf["provider"], pdf["official_domain"]):
-                if name is None or name != name or not str(name).strip():
+                if not isinstance(name, str) or not name.strip():
                     continue
                 if len(names) > 100_000:
                     names.clear()
-                if (key := ("n", name)) not in names:
-                    names[key] = programme(name)
                 typed = typed if isinstance(typed, str) else None
-                if (pkey := ("p", typed)) not in names:
-                    names[pkey] = provider(typed)
-                q, p = names[key], names[pkey]
+                if (q := names.get(("n", name))) is None:
+                    q = names["n", name] = programme(name)
+                if ("p", typed) not in names:
+                    names["p", typed] = provider(typed)
+                p = names["p", typed]
                 domain = domain.strip().lower().removeprefix("www.") if isinstance(domain, str) else ""
                 label = domain.split(".")[0] if p is None else ""
-                parts = (f"{q.kind}|{q.level}" if q.kind else "", " ".join(q.name), " ".join(p.name) if p else "", p.body if p else "", p.letters if p else "", label)
-                text = "\x1f".join(parts) + ("\x1f" + str(i) if p is None and not q.kind else "\x1e" if p is None else "")
-                sig = zlib.crc32(text.encode()) << 32 | zlib.crc32(text[::-1].encode())
-                out.append((i, sig - (1 << 64) if sig >= 1 << 63 else sig, *parts, p is not None, domain))
-            yield pd.DataFrame(out, columns=["id", "sig", "space", "name", "own", "body", "letters", "label", "known", "domain"])
+                parts = (f"{q.kind}|{q.level}" if q.kind else "", " ".join(q.name), " ".join(p.name) if p else "", p.body if p else "", p.letters if p else "", (p.letters or (initials(p) if p.body else "")) if p else "", label)
+                text = "\x1f".join((*parts, "?" if p is None else "", str(i) if p is None and not q.kind else ""))
+                out.append((i, blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), *parts, p is not None, domain))
+            yield pd.DataFrame(out, columns=["id", *_PARTS])
 
     return records.where("id is not null").select("id", "name", "provider", "official_domain").mapInPandas(run, _SIGNATURE)
 
@@ -61,208 +59,128 @@ def _own_domains(rows: DataFrame) -> DataFrame:
     return rows.drop("id").dropDuplicates(["sig"]).join(index, "domain", "left").withColumn("domain", F.coalesce("none", "domain")).drop("none")
 
 
-def _whole(name: str) -> bool:
-    """Whether a name takes part in the metric as it stands: two full words or more, so that their order can be undone."""
-    w = name.split()
-    return len(w) > 1 and min(map(len, w)) > 1
-
-
-def pivots_of(sample: dict[str, list[str]], sizes: dict[str, int], radius: int = RADIUS) -> dict[str, list[str]]:
-    """Pivots of each space by farthest-first traversal of its sample, until they cover it within twice the radius or suffice for its size."""
-    out = {}
-    for space, names in sample.items():
-        names = sorted({n for n in names if _whole(n)})
-        want = min(PIVOTS, -(-sizes.get(space, 0) // CELL)) if space else PIVOTS
-        chosen: list[str] = []
-        far = {n: 1 << 20 for n in names}
-        while names and len(chosen) < want:
-            p = max(names, key=lambda n: (far[n], n))
-            if chosen and far[p] <= 2 * radius:
-                break
-            chosen.append(p)
-            for n in names:
-                far[n] = min(far[n], _edits(n, p))
-        out[space] = chosen
+def points_of(name: tuple[str, ...], letters: str = "") -> list[tuple[str, str, str, bool]]:
+    """(suffix of the space, text, kind, initial) of the points at which a name stands.
+
+    All as it is spelled and as it sounds. Kinds: `typed` as it stands, run together; `turned` with its two words exchanged, or its words in order where there
+    are more; `word` in a space of its own for each initial: a name's other word, at which names with an initial and
+    full names meet; `both` for names with an initial, in a space for each two first letters; `letters` in a space where acronyms and full names with the same letters meet.
+    """
+    out = []
+    for form in dict.fromkeys((name, sounded(name))):
+        if form:
+            out.append(("", "".join(form), "typed", False))
+            turned = "".join(form[::-1] if len(form) == 2 else sorted(form))
+            if turned != "".join(form):
+                out.append(("", turned, "turned", False))
+        if len(form) == 2:
+            short = min(map(len, form)) == 1
+            out += [(f"|{x[0]}", y if len(y) > 1 else "", "word", short) for x, y in (form, form[::-1]) if len(x) == 1 or not short]
+            if short:
+                out.append(("|" + "".join(sorted(w[0] for w in form)), "", "both", False))
+    if letters:
+        out.append(("|*", "".join(sorted(letters)), "letters", not name))
     return out
 
 
-def _edits(a: str, b: str) -> int:
-    return alike(tuple(a.split()), tuple(b.split()), max(len(a), len(b)))
+def near_names(names: DataFrame, radius: int = RADIUS, reach: int = REACH) -> DataFrame:
+    """space, a, b: every two names of one space that are within the radius of each other.
 
+    names: space, key (what a and b are), name (its words), letters (of an acronym or of what one would be). The points
+    of all names are joined within `reach` in their spaces by pivots; what meets is then measured word by word. Names with
+    an initial meet full ones at the other word; such points are made only in spaces that hold an initial or acronym.
+    """
 
-def cells_of(space: str, name: str, pivots: dict[str, list[str]], radius: int = RADIUS) -> list[int]:
-    """The cells that a name must be in: that of its nearest pivot, and by the triangle inequality each that may hold a name within the radius.
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(s + suffix, k, n, t, kind, initial) for s, k, n, le in zip(pdf["space"], pdf["key"], pdf["name"], pdf["letters"]) for suffix, t, kind, initial in points_of(tuple(n.split()), le)]
+            yield pd.DataFrame(rows, columns=["space", "key", "name", "text", "kind", "initial"])
+
+    points = cut(names.select("space", "key", "name", "letters").distinct().mapInPandas(place, "space string, key string, name string, text string, kind string, initial boolean"))
+    whole = points.where("kind in ('typed', 'turned')")
+    asked = points.where("initial").select("space").distinct()
+    parts = points.where("kind in ('word', 'letters')").join(asked, "space", "left_semi")
+    words = parts.where("kind = 'word' and text <> ''")
+    met = radius_join(whole.select("space", "text").unionAll(words.select("space", "text")), reach)
+    met = cut(met.unionAll(met.select("space", F.col("t").alias("s"), F.col("s").alias("t"))).unionAll(whole.unionAll(words).select("space", F.col("text").alias("s"), F.col("text").alias("t")).distinct()))
+
+    def ends(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        side = lambda df, x: df.select(*on, F.col("key").alias(x), F.col("name").alias(f"of_{x}"))
+        return side(left, "a").join(side(right, "b"), list(on)).select("a", "b", "of_a", "of_b")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        there = left.join(met.withColumnRenamed("s", "text"), ["space", "text"]).select("space", F.col("t").alias("text"), "key", "name")
+        return ends(there, right, "space", "text")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [not x or not y or alike(tuple(x.split()), tuple(y.split()), radius) <= radius for x, y in zip(pdf["of_a"], pdf["of_b"])]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    initialled, both = words.where("initial"), points.where("kind = 'both'")
+    bare = ends(parts.where("kind = 'word' and initial and text = ''"), parts.where("kind = 'word'"), "space")
+    acronyms = ends(parts.where("kind = 'letters' and initial"), parts.where("kind = 'letters'"), "space", "text")
+    found = pairs(whole, whole).unionAll(pairs(initialled, words)).unionAll(bare).unionAll(acronyms).unionAll(ends(both, both, "space")).where("a <> b")
+    turn = F.col("a") > F.col("b")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("of_b")).otherwise(F.col("of_a")).alias("of_a"), F.when(turn, F.col("of_a")).otherwise(F.col("of_b")).alias("of_b")).distinct()
+    return found.mapInPandas(check, "a string, b string")
 
-    A name shortened to an initial, or written as one word, has no place of its own among whole names: it goes to every cell of its space.
-    """
-    p = pivots.get(space) or []
-    if len(p) < 2:
-        return [0]
-    if not _whole(name):
-        return list(range(len(p)))
-    d = [_edits(name, x) for x in p]
-    return [i for i, v in enumerate(d) if v <= min(d) + 2 * radius]
-
-
-def _variants(word: str) -> set[str]:
-    """A word and all that is left of it without one letter: words within one edit share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
-def _initialled(names: list[tuple[str, ...]], short: np.ndarray, full: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Index pairs (a in short, b in full) of two-word names in which an initial of a begins a word of b and the words left may be within the radius by their letters."""
-    if not len(short):
-        return
-    entries: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for b in full.tolist():
-        x, y = names[b]
-        entries[x[0]].append((b, y))
-        entries[y[0]].append((b, x))
-    table = {}
-    for c, rows in entries.items():
-        counts = np.zeros((len(rows), 27), np.int16)
-        for i, (_, w) in enumerate(rows):
-            for x in w:
-                counts[i, _LETTERS.get(x, 26)] += 1
-        table[c] = np.array([b for b, _ in rows]), counts, counts.sum(1), np.array([w[0] for _, w in rows])
-    for a in short.tolist():
-        for u, w in (names[a], names[a][::-1]):
-            if len(u) == 1 and u in table:
-                ids, counts, size, first = table[u]
-                begins = first == w[0]
-                if len(w) == 1:
-                    near = begins
-                else:
-                    own = np.zeros(27, np.int16)
-                    for x in w:
-                        own[_LETTERS.get(x, 26)] += 1
-                    near = (size == 1) & begins | (np.maximum(size, len(w)) - np.minimum(counts, own).sum(1) <= radius)
-                for b in ids[near].tolist():
-                    yield a, b
-
-
-def radius_pairs(names: list[tuple[str, ...]], left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Index pairs (a in left, b in right) of names within the radius, which is at most 3.
-
-    Of two two-word names within it one word pair is within one edit, so an index of words without one letter meets
-    all of them but those where that word is an initial, which are met by its letter. Other names are measured against
-    all by letter counts, a lower bound of the edits, first.
-    """
-    two = [len(n) == 2 for n in names]
-    index: dict[str, list[int]] = defaultdict(list)
-    for b in right.tolist():
-        if two[b]:
-            for w in names[b]:
-                if len(w) > 1:
-                    for v in _variants(w):
-                        index[v].append(b)
-    short = np.array([t and min(map(len, n)) == 1 for t, n in zip(two, names)], bool)
-    lettered: dict[int, set[int]] = defaultdict(set)
-    for a, b in _initialled(names, left[short[left]], right[[two[b] for b in right.tolist()]], radius):
-        lettered[a].add(b)
-    for b, a in _initialled(names, right[short[right]], left[[two[a] for a in left.tolist()]], radius):
-        lettered[a].add(b)
-    for a in left.tolist():
-        if two[a]:
-            for b in {b for w in names[a] if len(w) > 1 for v in _variants(w) for b in index.get(v, ())} | lettered.get(a, set()):
-                if a != b and alike(names[a], names[b], radius) <= radius:
-                    yield a, b
-    odd = np.array([not t for t in two], bool)
-    if not odd.any():
-        return
-    text = ["".join(n) for n in names]
-    counts = np.zeros((len(names), 27), np.int16)
-    for i, t in enumerate(text):
-        for c in t:
-            counts[i, _LETTERS.get(c, 26)] += 1
-    size = counts.sum(1)
-    for a in left[odd[left]].tolist():
-        near = right[np.abs(size[right] - size[a]) <= radius]
-        for b in near[np.maximum(size[near], size[a]) - np.minimum(counts[near], counts[a]).sum(1) <= radius].tolist():
-            if a != b and alike(names[a], names[b], radius) <= radius:
-                yield a, b
-    for b in right[odd[right]].tolist():
-        near = left[~odd[left] & (np.abs(size[left] - size[b]) <= radius)]
-        for a in near[np.maximum(size[near], size[b]) - np.minimum(counts[near], counts[b]).sum(1) <= radius].tolist():
-            if a != b and alike(names[a], names[b], radius) <= radius:
-                yield a, b
-
-
-def _lettered(people: list[Provider | None], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Index pairs of providers of which one or both are acronyms, met by the letters that they stand for."""
-    by: dict[str, list[int]] = defaultdict(list)
-    for b in right.tolist():
-        if p := people[b]:
-            by["".join(sorted(p.letters or initials(p)))].append(b)
-    for a in left.tolist():
-        if p := people[a]:
-            for b in by.get("".join(sorted(p.letters or initials(p))), ()):
-                if a != b and (p.letters or people[b].letters):
-                    yield a, b
+
+def _checked(pairs: DataFrame, parts: DataFrame, radius: int) -> DataFrame:
+    """a, b, sure of the pairs of signatures whose names are alike and whose providers agree."""
+    fields = [f for f in _PARTS if f != "sig"]
+    side = lambda x: parts.select(F.col("sig").alias(x), F.struct(*fields).alias(f"of_{x}"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["of_a"], pdf["of_b"]):
+                if alike(tuple(x["name"].split()), tuple(y["name"].split()), radius) > radius:
+                    continue
+                p, q = (Provider(tuple(z["own"].split()), z["body"], z["letters"]) if z["known"] else None for z in (x, y))
+                if p and q:
+                    if same_provider(p, q, radius):
+                        out.append((a, b, True))
+                elif p or q or x["space"]:
+                    label, other = (x["label"], q) if p is None else (y["label"], p)
+                    sure = bool(other and label) and same_provider(Provider((label,), "", ""), other, radius)
+                    if sure or x["space"]:
+                        out.append((a, b, sure))
+            yield pd.DataFrame(out, columns=["a", "b", "sure"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInPandas(check, "a string, b string, sure boolean")
 
 
 def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b, sure: pairs of signatures whose names are within the radius in one space and whose providers agree.
 
-    A space is a kind of award and level of study, which must be equal; titles without a kind share one. Within it names
-    are assigned to pivots and, where the triangle inequality demands it, to further cells; a cell too large for one task
-    is joined block by block, so none is capped. sure is false where a provider is missing. Spaces are as many as there
-    are kinds and levels, so the pivots' sample is bounded. Two titles without provider are linked, surely, if their
-    domain is the same and one organisation's own.
+    A space is a kind of award and level of study, which must be equal; in it founders' names are joined. A title without
+    a kind is many providers', so titles are joined first, and then providers' names (without provider, the first label
+    of the domain) in a space for each class of titles that hang together. sure is false where a provider is missing.
+    Titles without provider at a domain that is one organisation's own are linked to the first of them there.
     """
-    spark = signatures.sparkSession
-    names = signatures.select("space", "name").distinct()
-    sizes = {r[0]: r[1] for r in names.groupBy("space").agg(F.count("*")).collect()}
-    rank = F.row_number().over(W.partitionBy("space").orderBy(F.xxhash64("name"), "name"))
-    big = [s for s, n in sizes.items() if n > CELL or not s]
-    sample: dict[str, list[str]] = defaultdict(list)
-    if big:
-        share = F.pmod(F.xxhash64("name", F.lit(3)), F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.create_map(*[F.lit(x) for s in big for x in (s, float(sizes[s]))])[F.col("space")])
-        for s, n in names.where(F.col("space").isin(big) & share).withColumn("k", rank).where(F.col("k") <= SAMPLE).select("space", "name").collect():
-            sample[s].append(n)
-    pivots = pivots_of(sample, sizes, radius)
-    sent = spark.sparkContext.broadcast(pivots)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = [cells_of(s, n, sent.value, radius) for s, n in zip(pdf["space"], pdf["name"])]
-            yield pdf.loc[np.repeat(np.arange(len(pdf)), [len(x) for x in at])].assign(cell=np.array([i for x in at for i in x], np.int32))
-
-    fields = "sig bigint, space string, name string, own string, body string, letters string, label string, known boolean, domain string"
-    placed = signatures.select(*[f.split()[0] for f in fields.split(", ")]).mapInPandas(place, fields + ", cell int")
-    counts = placed.groupBy("space", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own_block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    tasks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
-    spread = placed.join(F.broadcast(counts), ["space", "cell"]).withColumn("block", own_block).withColumn("t", tasks).withColumn("i", F.col("t.i")).withColumn("j", F.col("t.j")).drop("t", "blocks")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [tuple(n.split()) for n in pdf["name"]]
-        people = [Provider(tuple(o.split()), b, le) if k else None for o, b, le, k in zip(pdf["own"], pdf["body"], pdf["letters"], pdf["known"])]
-        labels, domains, sigs = list(pdf["label"]), list(pdf["domain"]), pdf["sig"].to_numpy()
-        i, j, kind = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["space"].iloc[0]
-        block = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if kind:
-            pairs = radius_pairs(names, left, right, radius)
-        else:  # a title is many providers', so the radius join is on their names
-            owners = [p.name if p and p.name else (x,) if x else () for p, x in zip(people, labels)]
-            pairs = [p for p in {*radius_pairs(owners, left, right, radius), *_lettered(people, left, right)} if alike(names[p[0]], names[p[1]], radius) <= radius]
-        out = set()
-        for a, b in pairs:
-            p, q = people[a], people[b]
-            if p and q:
-                if same_provider(p, q, radius):
-                    out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), True))
-            elif p or q or kind:
-                label, other = (labels[a], q) if p is None else (labels[b], p)
-                sure = bool(other and label) and same_provider(Provider((label,), "", ""), other, radius)
-                if sure or kind:
-                    out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), sure))
-            elif domains[a] and domains[a] == domains[b]:
-                out.add((min(sigs[a], sigs[b]), max(sigs[a], sigs[b]), True))
-        return pd.DataFrame(sorted(out), columns=["a", "b", "sure"])
-
-    return spread.groupBy("space", "cell", "i", "j").applyInPandas(join, "a bigint, b bigint, sure boolean").distinct()
+    kinds = signatures.where("space <> ''")
+    sized = kinds.select("space", F.concat_ws("\x1f", "space", "name").alias("key"), "name", F.lit("").alias("letters"))
+    named = kinds.select("sig", F.concat_ws("\x1f", "space", "name").alias("key"))
+    met = near_names(sized, radius)
+    met = met.unionAll(named.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())
+    pairs = named.select(F.col("sig").alias("a_sig"), F.col("key").alias("a")).join(met, "a").join(named.select(F.col("sig").alias("b_sig"), F.col("key").alias("b")), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+
+    titles = cut(signatures.where("space = ''"))
+    group = components(near_names(titles.select(F.lit("").alias("space"), F.col("name").alias("key"), "name", F.lit("").alias("letters")), radius)).withColumnRenamed("sig", "name")
+    titled = cut(titles.join(group, "name", "left").withColumn("space", F.coalesce("class", "name")).drop("class"))
+    owners = titled.withColumn("owner", F.when(F.col("known") & (F.col("own") != ""), F.col("own")).otherwise(F.col("label")))
+    key = F.concat_ws("\x1f", "space", "owner", "short")
+    of = cut(owners.where("owner <> '' or short <> ''").select("sig", "space", "owner", "short", key.alias("key")))
+    close = near_names(of.select("space", "key", F.col("owner").alias("name"), F.col("short").alias("letters")), radius)
+    close = close.unionAll(of.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())
+    more = of.select(F.col("sig").alias("a_sig"), F.col("key").alias("a")).join(close, "a").join(of.select(F.col("sig").alias("b_sig"), F.col("key").alias("b")), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+
+    every = pairs.unionAll(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alone = titled.where("not known and domain <> ''").select("sig", "space", "domain")
+    first = alone.groupBy("space", "domain").agg(F.min("sig").alias("a"))
+    here = alone.join(first, ["space", "domain"]).where("a <> sig").select("a", F.col("sig").alias("b"), F.lit(True).alias("sure"))
+    return _checked(every, signatures.select(*_PARTS), radius).unionAll(here).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,6 +219,13 @@ def classes(records: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.select("id", "sig").join(final, "sig").select("id", "class")
 
 
+def class_sizes(records: DataFrame) -> DataFrame:
+    """id, class (the least id of the programme) and links (other rows of the same programme) of every named row."""
+    c = cut(classes(records).distinct())
+    size = c.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    return hot_join(c, size.withColumn("links", F.col("n") - 1), "class").select("id", F.col("least").alias("class"), "links")
+
+
 def same_programme(records: DataFrame) -> DataFrame:
     """id_a, id_b (id_a < id_b) of every two rows of the same programme, those spelled alike included."""
     c = cut(classes(records).distinct())

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from typing import NamedTuple
 
+from siftlake.llm.metric import distance
+
 # Kinds of award, levels of study, kinds of organisation, short forms, words that tell nothing.
 KINDS = ("merit scholarship", "merit cum means scholarship", "nursing stipend scheme", "travel grant", "research fellowship", "science talent award", "book bank grant", "teacher training bursary", "arts and crafts fellowship", "hostel support scheme", "sports scholarship", "tuition waiver scheme")
 LEVELS = {
@@ -20,6 +23,8 @@ SHORT = {
     "schol": "scholarship", "sch": "scheme", "fship": "fellowship", "stud": "students", "std": "class", "edu": "education", "fdn": "foundation", "dte": "directorate", "inst": "institute", "univ": "university",
     "char": "charitable", "mem": "memorial", "cncl": "council", "st": "state", "soc": "society", "ind": "industries", "comm": "commission", "ug": "undergraduate", "pg": "postgraduate", "phd": "doctoral", "govt": "government", "tech": "technology", "welf": "welfare", "coop": "cooperative",
 }
+#: Letters up to which a word of a longer name may have one edit only: another such word is soon another name.
+SMALL = 5
 TITLES = frozenset("smt shri sri dr pt prof late ms mr mrs the".split())
 _LEVEL_WORDS = frozenset("for school students of class 9 10 11 12 and undergraduate postgraduate doctoral scholars diploma iti trainees".split())
 
@@ -48,39 +53,36 @@ def words(text: str) -> list[str]:
     return [w if w == "schol" and n.startswith("stud") else SHORT.get(w, w) for w, n in zip(t, [*t[1:], ""])]
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Damerau's edit distance (neighbours may change places), or most + 1 if it is greater than that."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two: list[int] = []
-    one = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, two[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
-        two, one = one, row
-    return min(one[-1], most + 1)
-
-
-def _window(tokens: list[str], phrase: str, slack: int) -> tuple[int, int, int] | None:
-    """Where a phrase stands among tokens with at most slack typos: cost, begin, end."""
-    want = phrase.replace(" ", "")
-    n, best = len(phrase.split()), None
-    for size in (n, n - 1, n + 1):
-        for i in range(len(tokens) - size + 1 if size > 0 else 0):
-            got = "".join(tokens[i : i + size])
-            if abs(len(got) - len(want)) <= slack and (best is None or best[0] > 0):
-                d = distance(got, want, slack)
-                if d <= slack and (best is None or d < best[0]):
-                    best = d, i, i + size
-    return best
+class _Phrases:
+    """Finds the phrase of a list that stands among tokens with the fewest typos, the longest of several."""
+
+    def __init__(self, phrases: dict[str, str], slack: Callable[[str], int]):
+        self.at = {p.replace(" ", ""): (p, value) for p, value in phrases.items()}
+        self.sizes = range(1, max(len(p.split()) for p in phrases) + 2)
+        self.rows = [(w, set(w), {len(p.split()) + k for k in (-1, 0, 1)} - {0}, slack(p), p, value) for w, (p, value) in self.at.items()]
+
+    def find(self, tokens: list[str]) -> tuple[str, int, int] | None:
+        """The phrase's value and where it begins and ends. A phrase without typos is looked up; only where there is none are typos allowed."""
+        spans = [("".join(tokens[i : i + n]), n, i) for n in self.sizes for i in range(len(tokens) - n + 1)]
+        exact = [(-len(w), i, n) for w, n, i in spans if w in self.at]
+        if exact:
+            _, i, n = min(exact)
+            return self.at["".join(tokens[i : i + n])][1], i, i + n
+        best = None
+        marked = [(w, n, i, set(w)) for w, n, i in spans]
+        for want, letters, sizes, slack, p, value in self.rows:
+            for got, n, i, own in marked:
+                if n in sizes and abs(len(got) - len(want)) <= slack and len(letters ^ own) <= 2 * slack:
+                    d = distance(got, want, slack)
+                    if d <= slack and (best is None or (d, -len(p)) < best[0]):
+                        best = (d, -len(p)), value, i, i + n
+        return best and best[1:]
+
+
+_LEVEL = _Phrases({v: k for k, v in LEVELS.items()}, lambda p: 2)
+_SHORT_LEVEL = _Phrases({k: k for k in ("undergraduate", "postgraduate", "doctoral")}, lambda p: 1)
+_KIND = _Phrases({k: k for k in KINDS}, lambda p: 2 if len(p) > 12 else 1)
+_BODY = _Phrases({k: k for k in BODIES}, lambda p: 2 if len(p) > 10 else 1)
 
 
 class Programme(NamedTuple):
@@ -95,26 +97,23 @@ def programme(name: str | None) -> Programme:
     """Founder or title, kind of award and level of study of a programme's typed name; the session in it is dropped."""
     t = words(_SESSION.sub(" ", name or ""))
     level = ""
-    hits = [(w[0], -len(p), k, w) for k, p in LEVELS.items() if (w := _window(t, p, 2))]
-    if not hits:
-        hits = [(w[0], 0, k, w) for k, p in (("undergraduate", "undergraduate"), ("postgraduate", "postgraduate"), ("doctoral", "doctoral")) if (w := _window(t, p, 1))]
-    if hits:
-        _, _, level, (_, a, b) = min(hits)
+    hit = _LEVEL.find(t) or _SHORT_LEVEL.find(t)
+    if hit:
+        level, a, b = hit
         digits = [x for x in t[a:b] if x.isdigit()]
         if level.startswith("school") and digits:
             level = "school 9 10" if digits[0] == "9" or "10" in digits else "school 11 12"
         if a and t[a - 1] in ("for", "fro", "fr", "or"):
             a -= 1
         t = t[:a] + t[b:]
-    hits = [(w[0], -len(p), p, w) for p in KINDS if (w := _window(t, p, 2 if len(p) > 12 else 1))]
-    kind = ""
-    if hits:
-        _, _, kind, (_, a, b) = min(hits)
+    kind, hit = "", _KIND.find(t)
+    if hit:
+        kind, a, b = hit
         t = t[:a] + t[b:]
     t = [w for w in t if w not in TITLES]
     if kind and len(t) > 2 and t[:3] == ["in", "memory", "of"]:
         t = t[3:]
-    t = [spoken(w) for w in t if w not in ("in", "memory", "of", "for")] if kind else t
+    t = [w for w in t if w not in ("in", "memory", "of", "for")] if kind else t
     return Programme(tuple(t), kind, level)
 
 
@@ -136,16 +135,16 @@ def provider(text: str | None) -> Provider | None:
     if not raw:
         return None
     head = re.sub(r"[^A-Za-z]", "", raw.split(",")[0])
-    if head.isupper() and 3 <= len(head) <= 7 and " " not in raw.split(",")[0].strip():
+    if head.isupper() and len(head) > 1 and " " not in raw.split(",")[0].strip():
         return Provider((), "", head.lower())
     parts = [words(x) for x in raw.split(",")]
     t, at = [w for x in parts for w in x], [i for i, x in enumerate(parts) for _ in x]
-    hits = [(w[0], -len(p), p, w) for p in BODIES if (w := _window(t, p, 2 if len(p) > 10 else 1))]
-    if not hits:
+    hit = _BODY.find(t)
+    if not hit:
         parts = [y for x in parts if (y := _plain(x))]
         kept = parts[:-1] if len(parts) > 1 and len(parts[-2]) > 1 else parts  # "Rimo, Tasa Fund" is a name turned round
         return Provider(tuple(w for x in kept for w in x), "", "")
-    _, _, body, (_, a, b) = min(hits)
+    body, a, b = hit
     before, same = _plain(t[:a]), [w for w, i in zip(t[b:], at[b:]) if i == at[b - 1]]
     later = [y for i in range(at[b - 1] + 1, len(parts)) if (y := _plain(parts[i]))]
     if before:  # what stands behind the body is a place, unless it goes on with the name
@@ -159,15 +158,28 @@ def provider(text: str | None) -> Provider | None:
 
 
 def _plain(tokens: list[str]) -> list[str]:
-    return [spoken(w) for w in tokens if w not in TITLES and w != "of"]
+    return [w for w in tokens if w not in TITLES and w != "of"]
+
+
+def sounded(name: tuple[str, ...]) -> tuple[str, ...]:
+    """A name's words as they sound."""
+    return tuple(map(spoken, name))
 
 
 def alike(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> int:
-    """Edit distance of two names, or radius + 1 if it is greater.
+    """Edit distance of two names as they are spelled or as they sound, whichever is less, or radius + 1 if it is greater.
 
     Of two-word names it is the sum over their words in the better order, which is a metric on names without order; a
-    word of one letter stands for any that begins with it. Other names are compared as they stand, run together.
+    word of one letter stands for any that begins with it. Names of more words are compared word by word as they stand and
+    with their words in order, a word of SMALL letters or fewer within one edit; names of unequal numbers of words are
+    compared run together.
     """
+    best = _apart(a, b, radius)
+    x, y = sounded(a), sounded(b)
+    return best if not best or (x, y) == (a, b) else min(best, _apart(x, y, radius))
+
+
+def _apart(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> int:
     best = radius + 1
     if len(a) == len(b) == 2:
         for x in (a, a[::-1]):
@@ -177,8 +189,15 @@ def alike(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> int:
                     d += (u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, best - 1 - d)
             best = min(best, d)
         return best
-    for x in {a, a[::-1]} if len(a) == 2 else (a,):
-        for y in {b, b[::-1]} if len(b) == 2 else (b,):
+    if len(a) == len(b) > 2:
+        for x, y in ((a, b), (tuple(sorted(a)), tuple(sorted(b)))):
+            apart = [distance(u, v, radius) for u, v in zip(x, y)]
+            if all(d < 2 or min(len(u), len(v)) > SMALL for d, u, v in zip(apart, x, y)):
+                best = min(best, sum(apart))
+        return best
+    other = lambda n: n[::-1] if len(n) == 2 else tuple(sorted(n))
+    for x in {a, other(a)}:
+        for y in {b, other(b)}:
             best = min(best, distance("".join(x), "".join(y), radius))
     return best
 
@@ -203,7 +222,7 @@ def same_provider(a: Provider, b: Provider, radius: int = 2) -> bool:
         return a.body == b.body and _same_words(a.name, b.name, radius)
     bare, full = (b, a) if a.body else (a, b)  # a body typed too badly to be told stands behind the name's words
     n = len(full.name)
-    return _same_words(a.name, b.name, radius) or bool(full.body) and len(bare.name) > n and _same_words(bare.name[:n], full.name, radius) and distance("".join(bare.name[n:]), spoken(full.body.replace(" ", "")), 4) <= 4
+    return _same_words(a.name, b.name, radius) or bool(full.body) and len(bare.name) > n and _same_words(bare.name[:n], full.name, radius) and distance(spoken("".join(bare.name[n:])), spoken(full.body.replace(" ", "")), 4) <= 4
 
 
 def _same_words(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> bool:
@@ -212,4 +231,8 @@ def _same_words(a: tuple[str, ...], b: tuple[str, ...], radius: int) -> bool:
         return True
     if len(a) != len(b) or len(a) < 3:
         return False
-    return sum((u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, radius) for u, v in zip(a, b)) <= radius
+    for x, y in ((a, b), (sounded(a), sounded(b))):
+        apart = [(u[0] != v[0]) * (radius + 1) if 1 in (len(u), len(v)) else distance(u, v, radius) for u, v in zip(x, y)]
+        if sum(apart) <= radius and all(d < 2 or min(len(u), len(v)) > SMALL for d, u, v in zip(apart, x, y)):
+            return True
+    return False

@@ -17,6 +17,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return linking.same_programme(table(spark, d, "scholarships"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every named row of scholarships with its programme's class and the number of rows linked to it."""
+    return linking.class_sizes(table(spark, d, "scholarships"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages with template residue, filler or messages in place of a programme's text."""
     return residue.residue(table(spark, d, "pages"))
@@ -83,7 +88,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_evidence, p5_found, p5_bodies, p7_found, p7_texts, p8_ids, p8_counts, p9_found, p9_spans, p10_found, p10_segments, p10_documents)}
+    return {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_evidence, p5_found, p5_bodies, p7_found, p7_texts, p8_ids, p8_counts, p9_found, p9_spans, p10_found, p10_segments, p10_documents)}
 
 
 P7 = r"""

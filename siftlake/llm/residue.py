@@ -44,16 +44,17 @@ TAGS = frozenset("BR B I P DIV SPAN UL LI A TD TR TABLE HR EM STRONG H1 H2 H3 NO
 _SLOT = re.compile("|".join(f"(?:{s})" for s in SLOTS))
 _LOOSE = re.compile("|".join(f"(?:{s})" for s in LOOSE))
 _DEFAULT = re.compile(DEFAULTS)
-_HINT = re.compile(r"[{}\[\]%@#<>]|__|X{2,}|DD[/.-]MM|YYYY|Firstname|\b(?:undefined|NaN|First Last)\b")
+_MARKS = re.compile(r"[{}\[\]%@#<>]")
+_HINTS = ("__", "XX", "DD/MM", "DD.MM", "DD-MM", "YYYY", "Firstname", "First Last", "undefined", "NaN")
 _LATIN = re.compile(r"\b(?:lorem|ipsum|dolor|sapien|tortor|donec|velit|nulla|morbi)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _WEAK = re.compile(WEAK)
 _LABEL = re.compile(r"\s*([^\W\d_][^:.!?\n]*?)\s*:(?!//)\s*(.*?)\s*$")
-_OPEN = re.compile(rf"(?m:^[^:\n]*:\s*(?:{WEAK}|[A-Za-z]\w*)?\s*$)")
+_OPEN = re.compile(rf"(?m::[^\S\n]*(?:{WEAK}|[A-Za-z]\w*)?[^\S\n]*$)")
 _FIRST, _LAST = re.compile(r"\W*([^\W\d_]+)(?![\w\0-\2])"), re.compile(r"(?<![\w\0-\2])([^\W\d_]+)\W*$")
 _FRAME = re.compile(r"\d+|(?<![.!?] )(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?।…])\s+")
-_VARYING = re.compile(r"\S*\d\S*|[\w-]+(?:\.[\w-]+)+|(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
+_VARYING = re.compile(r"(?<!\S)[^\s\d]*\d\S*|(?<![\w-])[\w-]+(?:\.[\w-]+)+|(?<!^)\b[A-Z][\w'-]*(?: [A-Z][\w'-]*)*")
 _INNER = re.compile(r"[^\W\d_][\w. >-]*")
 
 
@@ -63,6 +64,11 @@ def model() -> LineModel:
     return LineModel({"furniture": FURNITURE, "content": CONTENT, "error": ERROR, "filler": FILLER})
 
 
+def hinted(text: str) -> bool:
+    """Whether a text may have a mark or a default at all."""
+    return bool(_MARKS.search(text)) or any(h in text for h in _HINTS)
+
+
 def masked(text: str) -> str:
     """A text in lower case with \\2 for names and figures."""
     return _FRAME.sub("\2", text).lower()
@@ -154,9 +160,9 @@ class Reader:
         """Evidence found on a page: kind (slot, field, filler, message), frame, filler, and whether its form alone settles it."""
         out = []
         for part, above in ((title, "\ttitle"), (text, "")):
-            if part and _HINT.search(part):
+            if part and hinted(part):
                 for x in part.split("\n"):
-                    if _HINT.search(x):
+                    if hinted(x):
                         out += [("slot", *s) for s in slots(x, above)]
                     if part is text and not x.isspace() and x:
                         above = masked(" ".join(x.split()))

@@ -6,7 +6,6 @@ import pytest
 from siftlake.llm import bpe, leak
 from siftlake.llm.boilerplate import Flow, Lines, cut, furniture_lines, model
 from siftlake.llm.language import LanguageModel, sentences, voted
-from siftlake.llm.linking import RADIUS, cells_of, pivots_of, radius_pairs
 from siftlake.llm.names import alike, programme, provider, same_provider
 from siftlake.llm.residue import Reader, slots
 from siftlake.llm.residue import model as residue_model
@@ -118,26 +117,6 @@ def test_names():
     assert provider(None) is None and programme(None).name == ()
 
 
-def test_radius_join_against_all_pairs():
-    rnd = random.Random(8)
-    syl = ["ba", "do", "ki", "lu", "me"]
-    names = [tuple("".join(rnd.choice(syl) for _ in range(3)) for _ in range(rnd.choice([1, 2, 2, 2]))) for _ in range(150)]
-    every = np.arange(len(names))
-    got = {tuple(sorted(p)) for p in radius_pairs(names, every, every)}
-    assert got == {(i, j) for i in every for j in every if i < j and alike(names[i], names[j], 2) <= 2}
-
-
-def test_cells_lose_no_link():
-    rnd = random.Random(9)
-    names = sorted({" ".join("".join(rnd.choice("abdeiklmno") for _ in range(6)) for _ in range(2)) for _ in range(120)})
-    pivots = pivots_of({"s": names[:60]}, {"s": 400_000})
-    assert len(pivots["s"]) > 3
-    for n in names:
-        near = n[:-1] + "z"
-        if alike(tuple(n.split()), tuple(near.split()), RADIUS) <= RADIUS:
-            assert set(cells_of("s", n, pivots)) & set(cells_of("s", near, pivots))
-
-
 def test_language_held_out():
     en = "the pupils of this school may ask for help before the end of the term|no money is paid to those who leave early|each form needs the name of a teacher and of a parent|we answer letters on working days".split("|")
     fr = "les élèves de cette école peuvent demander une aide avant la fin du trimestre|aucune somme n'est versée à ceux qui partent tôt|chaque dossier doit porter le nom d'un professeur|nous répondons aux lettres les jours ouvrables".split("|")
