@@ -55,7 +55,7 @@ _FACTORS = list(SCALES)
 
 
 class Quantity(NamedTuple):
-    """What a text states; currency and period are None where it is silent."""
+    """What a text states; currency and period are None where it is silent. figures: how many it gives; more than two are neither an amount nor a range."""
 
     low: Decimal
     high: Decimal
@@ -63,6 +63,7 @@ class Quantity(NamedTuple):
     is_range: bool
     currency: str | None
     period: str | None
+    figures: int = 1
 
 
 def number(token: str) -> Decimal:
@@ -119,7 +120,9 @@ def read(text: str | None) -> Quantity | None:
     if not text or not text.strip():
         return None
     body = _ASIDE.sub(" ", fold(text))
-    period = period_of(body)
+    period, currency = period_of(body), currency_of(body)
+    for unit in ("once", "per_quarter", "per_semester"):  # their number words are no figures
+        body = _PERIOD[unit].sub(" ", body)
     body = _SPELLED.sub(_spelled, body)
     found: list[tuple[Decimal, int | None]] = []
     for m in _NUMBER.finditer(body):
@@ -140,4 +143,4 @@ def read(text: str | None) -> Quantity | None:
     low, high = a * (sa or 1), b * (sb or 1)
     if is_range and high < low:
         is_range, high = False, low
-    return Quantity(low, high, not is_range and bool(_BOUND.search(body)), is_range, currency_of(body), period)
+    return Quantity(low, high, not is_range and bool(_BOUND.search(body)), is_range, currency, period, len(found))

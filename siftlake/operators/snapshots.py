@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from siftlake.functions.text import collapse
 from siftlake.functions.urls import canonical_url
 from siftlake.session import cut
 
-#: Bits of the key hash that number a leaf, and bits that one level of the tree takes. 2^12 leaves of a snapshot of a
-#: million keys hold 250 keys each; take more bits for more keys, the digests of a snapshot are 2^bits rows.
-LEAF_BITS, STEP_BITS = 12, 4
+#: Keys that a leaf of the tree is meant to hold, so that most leaves of a snapshot with a few per cent of changes are
+#: alike; bits of the key hash that one level of the tree takes, and that number the leaves at most.
+LEAF_KEYS, STEP_BITS, MOST_BITS = 8, 4, 32
 
 
 def page_states(pages: DataFrame) -> DataFrame:
@@ -42,12 +44,12 @@ def _sides(df: DataFrame, ids: list[int], *keep: Column | str) -> DataFrame:
     return df.where(F.col("run_id").isin(ids)).select(both.alias("side"), *keep).select("side.run", "side.now", *keep).where("run is not null")
 
 
-def snapshot_changes(states: DataFrame, runs: DataFrame, leaf_bits: int = LEAF_BITS, step_bits: int = STEP_BITS) -> DataFrame:
+def snapshot_changes(states: DataFrame, runs: DataFrame, leaf_bits: int | None = None, step_bits: int = STEP_BITS) -> DataFrame:
     """run_id, key, change_kind (added, removed, changed) of every snapshot but the first against the one before it.
 
     states: run_id, key, digest, one row for each key of a snapshot; runs: the snapshots' run_id (a row for each, so its
     size is that of the calendar), which follow each other in their order. A snapshot without rows is an empty one.
-    Keys fall into 2^leaf_bits hash ranges. A leaf's digest is the exclusive or of its rows' hashes with their count, an
+    Keys fall into 2^leaf_bits hash ranges, by default so many that a leaf holds LEAF_KEYS keys of a snapshot. A leaf's digest is the exclusive or of its rows' hashes with their count, an
     inner node's is made of its children's; from the root down only children of nodes that differ are compared, and
     rows only within leaves that differ. All groups are pre-aggregated before they are shuffled, so that no bucket or
     key can be hot. Empty tables give an empty result.
@@ -55,8 +57,9 @@ def snapshot_changes(states: DataFrame, runs: DataFrame, leaf_bits: int = LEAF_B
     ids = run_order(runs)
     if len(ids) < 2:
         return states.select("run_id", "key", F.lit("added").alias("change_kind")).limit(0)
-    leaf = F.shiftrightunsigned(F.xxhash64("key"), 64 - leaf_bits)
-    rows = cut(states.select("run_id", "key", "digest", leaf.alias("leaf")))
+    rows = cut(states.where(F.col("run_id").isin(ids)).select("run_id", "key", "digest"))
+    leaf_bits = leaf_bits or min(MOST_BITS, max(STEP_BITS, math.ceil(math.log2(max(1, rows.count() / len(ids) / LEAF_KEYS)))))
+    rows = rows.withColumn("leaf", F.shiftrightunsigned(F.xxhash64("key"), 64 - leaf_bits))
     node = lambda bits: F.shiftright("leaf", leaf_bits - bits)
     digests = rows.groupBy("run_id", "leaf").agg(F.bit_xor(F.xxhash64("key", "digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest", "key")).alias("y"), F.count("*").alias("n"))
     digests = cut(_sides(digests, ids, "leaf", "x", "y", "n").where(F.col("run") != ids[0]))
@@ -69,7 +72,10 @@ def snapshot_changes(states: DataFrame, runs: DataFrame, leaf_bits: int = LEAF_B
         side = lambda now: F.bit_xor(F.when(F.col("now") == now, F.xxhash64("leaf", "x", "y", "n")))
         differ = at.groupBy("run", "node").agg(side(True).alias("a"), side(False).alias("b")).where("not (a <=> b)").select("run", "node")
         last = bits
-    near = _sides(rows, ids, "key", "digest", "leaf").join(differ.withColumnRenamed("node", "leaf"), ["run", "leaf"], "left_semi")
+    changed = differ.withColumnRenamed("node", "leaf")
+    following = F.create_map(*[F.lit(x).cast("bigint") for i, n in zip(ids, ids[1:]) for x in (i, n)])
+    side = lambda run, now: rows.withColumn("run", run).join(changed, ["run", "leaf"], "left_semi").select("run", F.lit(now).alias("now"), "key", "digest")
+    near = side(F.col("run_id").cast("bigint"), True).unionAll(side(F.try_element_at(following, F.col("run_id").cast("bigint")), False))
     value = lambda now: F.max(F.when(F.col("now") == now, F.col("digest")))
     pairs = near.groupBy("run", "key").agg(value(True).alias("a"), value(False).alias("b")).where("not (a <=> b)")
     kind = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("changed")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftlake.functions.quantity import currency_of, period_of, read
 from siftlake.functions.trees import Forest
 from siftlake.operators.sampling import bounded_sample
+from siftlake.session import cut
 
 #: Rows at most on which the forests for missing units are fitted (a sample by hash of the id), and the calibrated
 #: confidence from which a missing unit is filled in; below it the row goes to review.
@@ -62,7 +63,7 @@ def fit_units(records: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, Forest]:
     Labels are what texts and columns state; the features that give the label away are blanked in half of the rows, so
     that the trees work with and without them. The sample is bounded and the same at any partitioning.
     """
-    sample = bounded_sample(records.where("amount_text is not null").select(*FIELDS), "id", rows)
+    sample = bounded_sample(records.select(*FIELDS), "id", rows, F.col("amount_text").isNotNull())
     models: dict[str, Forest] = {}
     for _, pdf, got in _parsed(sample.assign(income_limit_text=None)):
         x = features(pdf, "amount", [q.low for q in got], [q.high for q in got])
@@ -78,8 +79,9 @@ def stated_units(records: DataFrame, models: dict[str, Forest]) -> DataFrame:
     """Each figure that a record states, with its units and where they come from: text, column, rule or forest.
 
     The text's word counts before the column's. An income without a period is yearly and without a currency in
-    rupees (rule). What is still missing comes from the forests, with their calibrated confidence. Null, empty and
-    figureless texts give no row; repeated records give repeated rows.
+    rupees (rule). What is still missing comes from the forests, with their calibrated confidence. Texts of more than two
+    figures have confidence 0: which of them is meant is for a reader to tell. Null, empty and figureless texts give no
+    row; repeated records give repeated rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,6 +104,7 @@ def stated_units(records: DataFrame, models: dict[str, Forest]) -> DataFrame:
                             sure[i] = min(sure[i], p)
                     for i in [i for i, v in enumerate(out[unit]) if v is None]:
                         sure[i] = 0
+                sure[[i for i, q in enumerate(got) if q.figures > 2]] = 0
                 yield pd.DataFrame({
                     "id": part["id"], "quantity": quantity, "low": [q.low for q in got], "high": [q.high for q in got], "is_range": [q.is_range for q in got], "is_bound": [q.is_bound or quantity == "income" and not q.is_range for q in got],
                     "currency": out["currency"], "period": out["period"], "currency_from": source["currency"], "period_from": source["period"], "confidence": sure,
@@ -125,13 +128,52 @@ def to_common_units(stated: DataFrame, rates: DataFrame) -> DataFrame:
     return stated.withColumn("low_inr", low).withColumn("high_inr", value("high")).withColumn("basis", F.when(once, "once").otherwise("year"))
 
 
+def told_units(records: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """stated_units() with the forests fitted only if some figure lacks a unit, and asked only about the records that have such a figure."""
+    stated = cut(stated_units(records, {}))
+    lack = stated.where("currency is null or period is null")
+    if lack.isEmpty():
+        return stated
+    models = fit_units(records, rows)
+    keys = lack.select("id", "quantity").distinct()
+    again = stated_units(records.join(keys.select("id").distinct(), "id", "left_semi"), models).join(keys, ["id", "quantity"], "left_semi")
+    return stated.where("currency is not null and period is not null").join(keys, ["id", "quantity"], "left_anti").unionByName(again)
+
+
 def found(records: DataFrame, rates: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """id, quantity, low_inr, high_inr, basis of every figure whose units are stated or told with confidence."""
-    rows = to_common_units(stated_units(records, fit_units(records)), rates)
+    rows = to_common_units(told_units(records), rates)
     return rows.where((F.col("confidence") >= confident) & F.col("high_inr").isNotNull()).select("id", "quantity", "low_inr", "high_inr", "basis")
 
 
 def review(records: DataFrame, rates: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """Every figure that found() leaves out, with the forest's guess and its confidence, for a reader to decide."""
-    rows = to_common_units(stated_units(records, fit_units(records)), rates)
+    rows = to_common_units(told_units(records), rates)
     return rows.where((F.col("confidence") < confident) | F.col("high_inr").isNull()).select("id", "quantity", "low_inr", "high_inr", "basis", "currency", "period", F.round("confidence", 6).alias("confidence"))
+
+
+def masked_units(records: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """unit, confidence (tenths), n, right: how well the forests tell units that are known, on records that they never saw.
+
+    The records fall into two halves by a hash of the id. The forests are fitted on a bounded sample of one; every
+    record of the other whose amount states a unit is asked for it without its text's and column's word.
+    """
+    other = F.pmod(F.xxhash64("id", F.lit(19)), F.lit(2)) == 1
+    models = fit_units(records.where(~other), rows)
+    units = (("currency", "amount_currency", currency_of), ("period", "amount_period", period_of))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            for quantity, part, got in _parsed(pdf.assign(income_limit_text=None)):
+                x = features(part, quantity, [q.low for q in got], [q.high for q in got])
+                x[:, -2:] = 0
+                for unit, column, of in units:
+                    want = [getattr(q, unit) or of(v) for q, v in zip(got, part[column])]
+                    know = [i for i, v in enumerate(want) if v]
+                    if know and unit in models:
+                        names, sure = models[unit].predict(x[know])
+                        yield pd.DataFrame({"unit": unit, "confidence": np.minimum(np.floor(np.asarray(sure, float) * 10), 9) / 10, "hit": [int(v == want[i]) for i, v in zip(know, names)]})
+
+    told = records.where(other).select(*FIELDS).mapInPandas(run, "unit string, confidence double, hit int")
+    return told.groupBy("unit", "confidence").agg(F.count("*").alias("n"), F.sum("hit").alias("right"))

@@ -23,6 +23,11 @@ def p1_review(spark: SparkSession, d: str) -> DataFrame:
     return units.review(table(spark, d, "scholarships"), table(spark, d, "unit_rates"))
 
 
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """How well the forests tell units that are known but masked, by confidence, on records that they never saw."""
+    return units.masked_units(table(spark, d, "scholarships"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Versions of closing_date and status with the runs in which they held."""
     return history.attribute_history(table(spark, d, "scholarships"), table(spark, d, "changes"), table(spark, d, "crawl_runs"))
@@ -67,7 +72,7 @@ def _of(run: Callable[..., DataFrame], tables: tuple[str, ...]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = {f.__name__: f for f in (p1_found, p1_review, p3_found, p6_found, search_grants)}
+    own = {f.__name__: f for f in (p1_found, p1_review, p1_masked, p3_found, p6_found, search_grants)}
     return own | {k: _of(*v) for k, v in RECORDS.items()}
 
 

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -31,11 +32,14 @@ def open_session(master: str | None = None, **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset a temporary one is made in local mode, as in
+    tests; a cluster, whose executors do not share such a folder, is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftlake-"))
     return df.checkpoint(eager=True)
 
