@@ -121,8 +121,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """doc_id and ids (array of integers) of every document by a vocabulary of the folder, without special tokens.
+def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, *keep: str) -> DataFrame:
+    """doc_id, ids (array of integers) and the columns to keep of every document by a vocabulary of the folder, without special tokens.
 
     A null text has no ids, as has an empty one: both give an empty array. The vocabulary, under a megabyte whatever the
     corpus, is read by the driver and broadcast; one pass without a shuffle encodes whole texts.
@@ -136,12 +136,13 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str =
             _ENCODERS[key] = Encoder(parse_ranks(sent.value))
         encoder = _ENCODERS[key]
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encoder.encode(t) for t in pdf["text"]]})
+            yield pdf.assign(ids=[encoder.encode(t) for t in pdf.pop("text")])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, ids array<int>")
+    rows = documents.select("doc_id", *keep, "text")
+    fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return rows.mapInPandas(run, f"doc_id bigint{fields}, ids array<int>").select("doc_id", *keep, "ids")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """lang, documents and tokens: the size of the corpus in tokens by its language labels."""
-    ids = encode(documents, vocabulary, folder).select("doc_id", F.size("ids").alias("n"))
-    return documents.select("doc_id", "lang").join(ids, "doc_id").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
+    return encode(documents, vocabulary, folder, "lang").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.size("ids")).alias("tokens"))

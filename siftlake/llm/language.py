@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ _PARAGRAPH = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*•–]|\d+[.)])\s)")
 # Short forms whose dot ends no sentence.
 SHORT = "Rs rs No Nos Dr Smt Pt Ms Mr Mrs Shri Sri Prof Govt Dept approx ca vs e.g i.e Nr Hr Fr bzw z.B d.h Sr Sra núm Mme Mlle Fig Tel".split()
 _END = re.compile(r"(?=[.!?।॥…])" + "".join(rf"(?<!\b{re.escape(x)})" for x in SHORT) + r"(?<![\s(][A-Z])([.!?।॥…]+[\"'”’»)*_]*)(?=\s|$)")
-_NOISE = re.compile(r"[\d\W_]+", re.UNICODE)
+_NOISE = regex.compile(r"[^\p{L}\p{M}]+")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x2060, 0xFEFF])
 
 
@@ -69,26 +70,28 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     return [(s, full) for s, full in out if any(c.isalpha() for c in s)]
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all subwords (runs of 2 to 4 letters, word ends included) and the text of each, in order of texts."""
+def subwords_by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of subwords (runs of 2 to 4 letters, word ends included) their bucket numbers and the text of each, in order of texts."""
     # letters keep their combining marks: only digits, punctuation and space are folded to one blank
-    clean = [" " + " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower()).split()) + " " if not t.isascii() else " " + _NOISE.sub(" ", t.lower()).strip() + " " for t in texts]
-    sizes = np.array([len(c) for c in clean])
+    clean = [" " + _NOISE.sub(" ", t.lower()).strip() + " " for t in texts]
     codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(clean)), sizes)
-    ids, at = [], []
+    owner = np.repeat(np.arange(len(clean)), [len(c) for c in clean])
     h = codes * np.uint64(0x9E3779B97F4A7C15)
     for n in range(2, max(LENGTHS) + 1):
         if len(codes) < n:
-            break
+            return
         h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[n - 1 :] * np.uint64(0x94D049BB133111EB)
-        same = owner[: len(owner) - n + 1] == owner[n - 1 :]
         if n in LENGTHS:
-            ids.append(((h[same] ^ (h[same] >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64))
-            at.append(owner[: len(owner) - n + 1][same])
-    if not ids:
+            same = owner[: len(owner) - n + 1] == owner[n - 1 :]
+            yield ((h[same] ^ (h[same] >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64), owner[: len(owner) - n + 1][same]
+
+
+def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of all subwords and the text of each, in order of texts."""
+    parts = list(subwords_by_length(texts))
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, at = np.concatenate(ids), np.concatenate(at)
+    ids, at = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(at, kind="stable")
     return ids[order], at[order]
 
@@ -110,11 +113,11 @@ class LanguageModel:
         for _ in range(2):
             self._train(ids, bounds, y, np.flatnonzero(~held), epochs, rng)
             self.heat = 1.0
-            p = self._softmax(self._logits(ids, at, len(texts)))
+            p = self._softmax(self._logits(texts))
             sure = p.max(1) > 0.6
             y = np.where(sure, p.argmax(1), y)
         test = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-        z = self._logits(ids, at, len(texts))[test]
+        z = self._logits(texts)[test]
         self.held_out = float((z.argmax(1) == y[test]).mean())
         loss = {t: -np.log(self._softmax(z * t)[np.arange(len(test)), y[test]] + 1e-9).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
         self.heat = min(loss, key=loss.get)
@@ -124,7 +127,7 @@ class LanguageModel:
         parts = [(t, v) for t, v in parts if _letters(t) >= LETTERS]
         self.short_heat = self.heat
         if parts:
-            z, v = self._logits(*subwords([t for t, _ in parts]), len(parts)), np.array([v for _, v in parts])
+            z, v = self._logits([t for t, _ in parts]), np.array([v for _, v in parts])
             loss = {t: -np.log(self._softmax(z * t)[np.arange(len(v)), v] + 1e-9).mean() for t in (0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0) if t <= self.heat}
             self.short_heat = min(loss, key=loss.get)
 
@@ -159,14 +162,17 @@ class LanguageModel:
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def _logits(self, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        z = np.zeros((n, len(self.names)), np.float32)
-        if len(ids):
-            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            size = np.diff(np.append(starts, len(at)))
-            for a in range(0, len(starts), 1_000):  # a thousand texts at a time, so that memory stays bounded
-                b = starts[a + 1_000] if a + 1_000 < len(starts) else len(at)
-                z[at[starts[a : a + 1_000]]] = np.add.reduceat(self.table[ids[starts[a] : b]], starts[a : a + 1_000] - starts[a]) / size[a : a + 1_000, None]
+    def _logits(self, texts: list[str]) -> np.ndarray:
+        """Mean weights of each text's subwords, a thousand texts at a time, so that memory stays bounded."""
+        z = np.zeros((len(texts), len(self.names)), np.float32)
+        for a in range(0, len(texts), 1_000):
+            part, size = z[a : a + 1_000], np.zeros((min(1_000, len(texts) - a), 1), np.float32)
+            for ids, at in subwords_by_length(texts[a : a + 1_000]):
+                if len(ids):
+                    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                    part[at[starts]] += np.add.reduceat(self.table[ids], starts)
+                    size[at[starts], 0] += np.diff(np.append(starts, len(at)))
+            part /= np.maximum(size, 1)
         return z
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -176,7 +182,7 @@ class LanguageModel:
         for a in range(0, len(texts), 1_000):
             part = texts[a : a + 1_000]
             heat = np.array([self.heat if len(t.split()) >= 4 else self.short_heat for t in part])[:, None]
-            p = self._softmax(self._logits(*subwords(part), len(part)).astype(np.float64) * heat)
+            p = self._softmax(self._logits(part).astype(np.float64) * heat)
             names += [self.names[i] for i in p.argmax(1)]
             sure.append(p.max(1))
         return names, np.concatenate(sure) if sure else np.zeros(0)
@@ -200,8 +206,8 @@ def voted(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def fit(documents: DataFrame, docs: int = TRAIN_DOCS, limit: int = TRAIN_SENTENCES) -> LanguageModel | None:
     """A model trained on a bounded sample of labelled documents; None if there is no labelled sentence."""
-    labelled = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).where("code is not null and length(text) > 40")
-    sample = bounded_sample(labelled, "doc_id", docs, 11)
+    labelled = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code"))
+    sample = bounded_sample(labelled, "doc_id", docs, F.expr("code is not null and length(text) > 40"), 11)
     rows = voted([(s, c) for t, c in zip(sample["text"], sample["code"]) for s, full in sentences(t) if full])
     rows = [rows[i] for i in np.random.default_rng(3).permutation(len(rows))[:limit]]
     return LanguageModel([s for s, _ in rows], [c for _, c in rows]) if rows else None
