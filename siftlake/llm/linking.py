@@ -159,24 +159,23 @@ def links(signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
     of the domain) in a space for each class of titles that hang together. sure is false where a provider is missing.
     Titles without provider at a domain that is one organisation's own are linked to the first of them there.
     """
-    kinds = signatures.where("space <> ''")
-    sized = kinds.select("space", F.concat_ws("\x1f", "space", "name").alias("key"), "name", F.lit("").alias("letters"))
-    named = kinds.select("sig", F.concat_ws("\x1f", "space", "name").alias("key"))
-    met = near_names(sized, radius)
-    met = met.unionAll(named.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())
-    pairs = named.select(F.col("sig").alias("a_sig"), F.col("key").alias("a")).join(met, "a").join(named.select(F.col("sig").alias("b_sig"), F.col("key").alias("b")), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
-
-    titles = cut(signatures.where("space = ''"))
-    group = components(near_names(titles.select(F.lit("").alias("space"), F.col("name").alias("key"), "name", F.lit("").alias("letters")), radius)).withColumnRenamed("sig", "name")
-    titled = cut(titles.join(group, "name", "left").withColumn("space", F.coalesce("class", "name")).drop("class"))
+    key = F.concat_ws("\x1f", "space", "name")
+    named = cut(signatures.select("sig", "space", "name", key.alias("key")))
+    met = cut(near_names(named.select("space", "key", "name", F.lit("").alias("letters")), radius))
+    ends = lambda rows, near: rows.select(F.col("sig").alias("a_sig"), F.col("key").alias("a")).join(near, "a").join(rows.select(F.col("sig").alias("b_sig"), F.col("key").alias("b")), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    same = lambda rows: rows.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
+    kinds = named.where("space <> ''")
+    pairs = ends(kinds, met.unionAll(same(kinds)))
+
+    titles = signatures.where("space = ''").withColumn("key", key)
+    group = components(met.join(titles.select(F.col("key").alias("a")).distinct(), "a", "left_semi")).withColumnRenamed("sig", "key")
+    titled = cut(titles.join(group, "key", "left").withColumn("space", F.coalesce("class", "key")).drop("class", "key"))
     owners = titled.withColumn("owner", F.when(F.col("known") & (F.col("own") != ""), F.col("own")).otherwise(F.col("label")))
-    key = F.concat_ws("\x1f", "space", "owner", "short")
-    of = cut(owners.where("owner <> '' or short <> ''").select("sig", "space", "owner", "short", key.alias("key")))
-    close = near_names(of.select("space", "key", F.col("owner").alias("name"), F.col("short").alias("letters")), radius)
-    close = close.unionAll(of.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())
-    more = of.select(F.col("sig").alias("a_sig"), F.col("key").alias("a")).join(close, "a").join(of.select(F.col("sig").alias("b_sig"), F.col("key").alias("b")), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    of = cut(owners.where("owner <> '' or short <> ''").select("sig", "space", "owner", "short", F.concat_ws("\x1f", "space", "owner", "short").alias("key")))
+    close = cut(near_names(of.select("space", "key", F.col("owner").alias("name"), F.col("short").alias("letters")), radius))
+    more = ends(of, close.unionAll(same(of)))
 
-    every = pairs.unionAll(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = cut(pairs.unionAll(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     alone = titled.where("not known and domain <> ''").select("sig", "space", "domain")
     first = alone.groupBy("space", "domain").agg(F.min("sig").alias("a"))
     here = alone.join(first, ["space", "domain"]).where("a <> sig").select("a", F.col("sig").alias("b"), F.lit(True).alias("sure"))

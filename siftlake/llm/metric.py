@@ -167,26 +167,27 @@ def assigned(points: DataFrame, radius: int, ball: int = BALL, sample: int = SAM
     pivot it has within ball + radius. What no pivot covers is left to the next round, which covers at least its own
     pivots, so that all texts get a cell and no pair within the radius is without a common one.
     """
-    rest, done = cut(points.select("space", "text").distinct()), None
-    while True:
-        sizes = rest.groupBy("space").agg(F.count("*").alias("n"))
-        rank = F.row_number().over(W.partitionBy("space").orderBy(F.xxhash64("text", F.lit(7)), "text"))
-        draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * sample / F.col("n")
-        drawn = rest.join(sizes, "space").where((F.col("n") <= sample) | draw).withColumn("k", rank).where(F.col("k") <= sample)
-        parts = F.ceil(F.col("n") / ASSIGNED).cast("int")
-
-        def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"space": pdf["space"].iloc[0], "pivot": leaders(pdf["text"].tolist(), ball)})
+    rest, done = points.select("space", "text").distinct(), None
 
-        pivots = drawn.groupBy("space").applyInPandas(thin, "space string, pivot string").join(sizes, "space").select(F.col("space").alias("s"), "pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
-        mine = rest.join(sizes, "space").select("space", "text", F.pmod(F.xxhash64("text"), parts).cast("int").alias("part"))
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pivots = leaders(pdf["text"].tolist(), ball)
+        parts = -(-int(pdf["n"].iloc[0]) // ASSIGNED)
+        return pd.DataFrame({"space": pdf["space"].iloc[0], "pivot": pivots * parts, "part": np.repeat(np.arange(parts, dtype=np.int32), len(pivots))})
 
-        def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty:
-                return pd.DataFrame({"space": [], "text": [], "pivot": [], "role": []})
-            got = cells(left["text"].tolist(), right["pivot"].tolist(), radius, ball)
-            return pd.DataFrame(got, columns=["text", "pivot", "role"]).assign(space=left["space"].iloc[0])[["space", "text", "pivot", "role"]]
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({"space": [], "text": [], "pivot": [], "role": []})
+        got = cells(left["text"].tolist(), right["pivot"].tolist(), radius, ball)
+        return pd.DataFrame(got, columns=["text", "pivot", "role"]).assign(space=left["space"].iloc[0])[["space", "text", "pivot", "role"]]
 
+    while True:
+        rest = cut(rest)
+        rest = cut(rest.join(rest.groupBy("space").agg(F.count("*").alias("n")), "space"))
+        rank = F.row_number().over(W.partitionBy("space").orderBy(F.xxhash64("text", F.lit(7)), "text"))
+        draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * sample / F.col("n")
+        drawn = rest.where((F.col("n") <= sample) | draw).withColumn("k", rank).where(F.col("k") <= sample)
+        pivots = drawn.groupBy("space").applyInPandas(thin, "space string, pivot string, part int").select(F.col("space").alias("s"), "pivot", F.col("part").alias("p"))
+        mine = rest.select("space", "text", F.pmod(F.xxhash64("text"), F.ceil(F.col("n") / ASSIGNED)).cast("int").alias("part"))
         placed = cut(mine.groupBy("space", "part").cogroup(pivots.groupBy("s", "p")).applyInPandas(place, _CELLS))
         own = placed.where("role < 2")
         done = own if done is None else done.unionAll(own)
@@ -199,12 +200,10 @@ def radius_join(points: DataFrame, radius: int, ball: int = BALL, sample: int =
     """space, s, t (s < t): every two texts of one space within the radius, by exact joins inside the pivots' cells.
 
     points: space, text; nulls and repeated points count for nothing. A cell's own texts are compared with each other and
-    with its boundary texts; cells are packed into tasks by the number of their members.
+    with its boundary texts; a task takes the cells of one range of their hashes.
     """
     placed = assigned(points.where("space is not null and text is not null"), radius, ball, sample)
-    sizes = placed.groupBy("space", "pivot").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("lane").orderBy("space", "pivot").rowsBetween(W.unboundedPreceding, -1))
-    lanes = sizes.withColumn("lane", F.pmod(F.xxhash64("space", "pivot"), F.lit(64))).withColumn("task", F.floor(F.coalesce(before, F.lit(0)) / COMPARED))
+    tasks = max(1, -(-placed.count() // COMPARED))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["space", "pivot", "role", "text"], kind="stable")
@@ -226,5 +225,4 @@ def radius_join(points: DataFrame, radius: int, ball: int = BALL, sample: int =
                 a, b = [], []
         return pd.DataFrame(out, columns=["space", "s", "t"])
 
-    members = placed.join(lanes.drop("n"), ["space", "pivot"])
-    return members.groupBy("lane", "task").applyInPandas(compare, "space string, s string, t string").distinct()
+    return placed.groupBy(F.pmod(F.xxhash64("space", "pivot"), F.lit(tasks)).alias("task")).applyInPandas(compare, "space string, s string, t string").distinct()
