@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Query parameters that only track the visitor, and second-level labels of country registries.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
-SECOND_LEVEL = ("co", "ac", "gov", "org", "net", "edu", "nic", "res", "com")
+SECOND_LEVEL = ("co", "ac", "gov", "nic", "edu", "org", "net", "res", "ernet", "com", "bank", "or")
 COUNTRY_LABELS = ("in", "uk", "au", "ca", "nz", "za")
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^?#]*)(?:\?([^#]*))?"

@@ -30,11 +30,17 @@ def frontier(candidates: DataFrame) -> DataFrame:
     return g.select("run_id", "canonical_url", F.col("f.candidate_id").alias("candidate_id"), F.col("f.discovered_via").alias("discovered_via"), F.col("f.depth").alias("depth"), "times", "best")
 
 
-def crawl_plan(candidates: DataFrame, per_domain: int = PER_DOMAIN) -> DataFrame:
-    """The addresses that a run fetches: of each domain the best `per_domain`, by relevance, then the first found."""
-    f = frontier(candidates).withColumn("host", host_of(F.col("canonical_url")))
-    w = W.partitionBy("run_id", "host").orderBy(F.desc_nulls_last("best"), "candidate_id")
-    return f.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_domain).select("run_id", "host", "place", "candidate_id", "canonical_url")
+def crawl_plan(candidates: DataFrame, per_domain: int = PER_DOMAIN, parts: int = 64) -> DataFrame:
+    """The addresses that a run fetches: of each domain the best `per_domain`, by relevance, then the first found.
+
+    A domain's addresses are first cut to the best of each of `parts` hash ranges, so that the domain that has most of them
+    leaves one task at most parts x per_domain rows to order.
+    """
+    f = frontier(candidates).withColumn("host", host_of(F.col("canonical_url"))).withColumn("part", F.pmod(F.xxhash64("canonical_url"), F.lit(parts)))
+    order = [F.desc_nulls_last("best"), "candidate_id"]
+    best = f.withColumn("k", F.row_number().over(W.partitionBy("run_id", "host", "part").orderBy(*order))).where(F.col("k") <= per_domain)
+    ranked = best.withColumn("place", F.row_number().over(W.partitionBy("run_id", "host").orderBy(*order)))
+    return ranked.where(F.col("place") <= per_domain).select("run_id", "host", "place", "candidate_id", "canonical_url")
 
 
 def page_identity(pages: DataFrame) -> DataFrame:
@@ -168,3 +174,65 @@ def reuse_plan(pages: DataFrame) -> DataFrame:
     j = last.join(before, ["run_id", "u"], "left")
     same = F.coalesce(F.col("h") == F.col("p"), F.lit(False))
     return j.groupBy("run_id").agg(F.sum(F.when(same, 1).otherwise(0)).alias("reused"), F.sum(F.when(same, 0).otherwise(1)).alias("fresh"))
+
+
+def key_figures(records: DataFrame) -> DataFrame:
+    """One row of sums over the records: by label, confidence, status, dates and sources; zeros over an empty table."""
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    is_ = lambda c, v: F.col(c) == v
+    return records.agg(
+        F.count("*").alias("records"), count(is_("verification_label", "VERIFIED")).alias("verified"), count(is_("verification_label", "REVIEW_REQUIRED")).alias("to_review"), count(F.col("confidence") >= 95).alias("sure"),
+        count(is_("status", "ACTIVE")).alias("active"), count(is_("status", "EXPIRING_SOON")).alias("expiring"), count(is_("status", "EXPIRED")).alias("expired"), count(is_("status", "NO_LONGER_VERIFIABLE")).alias("lost"),
+        count(F.col("closing_date").isNotNull()).alias("dated"), F.countDistinct("source_type").alias("source_types"), F.round(F.avg("confidence"), 1).alias("mean_confidence"),
+    )
+
+
+def audit(records: DataFrame, log: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
+    """metric, value, threshold, met: whether records and log reach what a reader asks of them."""
+    asked = {"records": 20, "linked": 15, "verified": 10, "source_types": 3, "changed": 2, "expired": 2} | (thresholds or {})
+    r = records.agg(
+        F.count("*").alias("records"), F.count("official_url").alias("linked"), F.sum(F.when(F.col("verification_label") == "VERIFIED", 1).otherwise(0)).alias("verified"), F.countDistinct("source_type").alias("source_types"),
+        F.sum(F.when(F.col("status").isin("EXPIRED", "NO_LONGER_VERIFIABLE"), 1).otherwise(0)).alias("expired"),
+    )
+    c = log.agg(F.countDistinct(F.when(F.col("change_type") == "FIELD_CHANGED", F.col("scholarship_id"))).alias("changed"))
+    long = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in df.columns]), F.array(*[F.coalesce(F.col(x), F.lit(0)).cast("bigint") for x in df.columns]))).alias("metric", "value"))
+    want = F.create_map(*[F.lit(x) for kv in asked.items() for x in kv])[F.col("metric")].cast("bigint")
+    return long(r).unionAll(long(c)).select("metric", "value", want.alias("threshold"), (F.col("value") >= want).alias("met"))
+
+
+def recently_changed(log: DataFrame, days: int = 7) -> DataFrame:
+    """run_id, n: distinct records that changed within the last days before the newest entry, new ones left out, by run."""
+    newest = log.agg(F.max("detected_at").alias("t"))
+    rows = log.where("change_type <> 'NEW'").join(F.broadcast(newest), F.col("detected_at") >= F.col("t") - F.expr(f"interval {days} days"))  # one row
+    return rows.groupBy("run_id").agg(F.countDistinct("scholarship_id").alias("n"))
+
+
+def run_overview(runs: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """run_id, label, as_of, pages, failed, found: every run with what it fetched and found, the newest first."""
+    p = pages.groupBy("run_id").agg(F.count("*").alias("p"), F.sum(F.when((F.col("status_code") < 200) | (F.col("status_code") >= 300), 1).otherwise(0)).alias("x"))
+    c = candidates.groupBy("run_id").agg(F.count("*").alias("c"))
+    zero = lambda x, n: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(n)
+    return runs.select("run_id", "label", "as_of").join(p, "run_id", "left").join(c, "run_id", "left").select("run_id", "label", "as_of", zero("p", "pages"), zero("x", "failed"), zero("c", "found"))
+
+
+def search_totals(records: DataFrame, words: str = "") -> DataFrame:
+    """source_type, n: how many records a search finds in all, by source type."""
+    return matching(records, words).groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+def record_documents(records: DataFrame, log: DataFrame) -> DataFrame:
+    """id, n_changes, changes: each record with its log nested as JSON, in the order of its runs; an empty list where it has none."""
+    entry = F.struct("run_id", "change_id", "field_name", "change_type", "old_value", "new_value")
+    c = log.groupBy(F.col("scholarship_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("c"))
+    j = records.select("id").join(c, "id", "left")
+    return j.select("id", F.coalesce(F.size("c"), F.lit(0)).alias("n_changes"), F.coalesce(F.to_json("c"), F.lit("[]")).alias("changes"))
+
+
+def report_figures(records: DataFrame, log: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """metric, n: the scalar counts of a report, one pass for each table."""
+    some = lambda df, name, c=None: df.agg((F.count("*") if c is None else F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))).cast("bigint").alias("n")).select(F.lit(name).alias("metric"), "n")
+    parts = [some(records, "records"), some(records, "verified", F.col("verification_label") == "VERIFIED"), some(records, "sure", F.col("confidence") >= 95), some(log, "field_changes", F.col("change_type") == "FIELD_CHANGED"), some(log, "status_changes", F.col("change_type") == "STATUS_CHANGED"), some(pages, "pages"), some(pages, "unsafe_pages", ~F.col("tls_verified")), some(candidates, "candidates"), some(candidates, "rejected", F.col("status") == "REJECTED")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
