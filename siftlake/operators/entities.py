@@ -36,7 +36,7 @@ def matched(incoming: DataFrame, known: DataFrame) -> DataFrame:
     fits counts, of several records the least id. The last joins names only within a domain and a first letter of their key,
     a key's words in order, so that no two sides are multiplied. Null addresses and names match nothing.
     """
-    side = lambda df, x: df.select(F.col("id").alias(x), F.col("official_url").alias("url"), canonical_url(F.col("official_url")).alias("canon"), record_key(F.col("name"), F.lower("official_domain")).alias("key"), registered_domain(F.lower("official_domain")).alias("domain"), F.array_join(F.array_sort(F.split(name_key(F.col("name")), " ")), " ").alias("words"))
+    side = lambda df, x: df.select(F.col("id").alias(x), F.col("official_url").alias("url"), canonical_url(F.col("official_url")).alias("canon"), F.when(name_key(F.col("name")) != "", record_key(F.col("name"), F.lower("official_domain"))).alias("key"), registered_domain(F.lower("official_domain")).alias("domain"), F.array_join(F.array_sort(F.split(name_key(F.col("name")), " ")), " ").alias("words"))
     a, b = side(incoming, "in_id"), side(known, "id")
     by = lambda rule, *on: a.join(b.groupBy(*on).agg(F.min("id").alias("id")), list(on)).where(F.concat_ws("", *on) != "").select("in_id", "id", F.lit(rule).alias("rule"))
     first = F.substring("words", 1, 1).alias("c")
