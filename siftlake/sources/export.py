@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,8 @@ def to_json(records: DataFrame, log: DataFrame, path: str) -> None:
 def append(rows: DataFrame, path: str, *partitions: str) -> None:
     """Rows added to a log of Parquet files."""
     rows.write.mode("append").partitionBy(*partitions).parquet(path)
+
+
+def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
+    """A log's rows rewritten to `target` in few files, without a shuffle."""
+    spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(target)

@@ -1,4 +1,4 @@
-"""Pages that arrive as a stream: the latest state of every address, kept up to date."""
+"""Pages that arrive as a stream: the latest state of every address, kept up to date without state in memory."""
 
 from __future__ import annotations
 
@@ -15,13 +15,24 @@ def page_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def states(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """run_id, key, last_fetch, digest: state of each address and run; rows later than `late` behind are dropped from the state."""
-    rows = stream.withWatermark("fetched_at", late).select("run_id", "fetched_at", "page_id", canonical_url(F.coalesce("url", "final_url")).alias("key"), F.xxhash64(collapse(F.col("text"))).alias("d"))
+def states(rows: DataFrame) -> DataFrame:
+    """run_id, key, last_fetch, page_id, digest: the latest state of each address and run among the rows, aggregated before it is shuffled."""
+    r = rows.select("run_id", "fetched_at", "page_id", canonical_url(F.coalesce("url", "final_url")).alias("key"), F.xxhash64(collapse(F.col("text"))).alias("d"))
     last = F.max(F.struct("fetched_at", "page_id", "d")).alias("s")
-    return rows.groupBy("run_id", "key").agg(last).select("run_id", "key", F.col("s.fetched_at").alias("last_fetch"), F.col("s.d").alias("digest"))
+    return r.where("key is not null").groupBy("run_id", "key").agg(last).select("run_id", "key", F.col("s.fetched_at").alias("last_fetch"), F.col("s.page_id").alias("page_id"), F.col("s.d").alias("digest"))
 
 
-def keep_states(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Runs the states into an in-memory table until what is there has been read."""
-    return states(stream).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_states(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes the states of each micro-batch to a log in the folder, until what is there has been read.
+
+    A batch has a folder of its own, which is written anew if the batch is repeated, so each row counts once. The stream
+    keeps no state: late rows of any age are merged when the log is read.
+    """
+    write = lambda batch, i: states(batch).write.mode("overwrite").parquet(f"{folder}/batch={i}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_states(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id, key, last_fetch, page_id, digest: the log's latest state of each address and run."""
+    last = F.max(F.struct("last_fetch", "page_id", "digest")).alias("s")
+    return spark.read.parquet(folder).groupBy("run_id", "key").agg(last).select("run_id", "key", "s.last_fetch", "s.page_id", "s.digest")

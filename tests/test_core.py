@@ -99,10 +99,23 @@ def test_merge_sources(spark):
 
 
 def test_stream_keeps_latest_state(spark, tmp_path):
-    from siftlake.streaming.arrivals import keep_states, page_stream
+    from siftlake.streaming.arrivals import current_states, keep_states, page_stream
 
-    rows = [(1, 1, "https://a.example/x#q", None, T, "old", ""), (2, 1, "https://www.a.example/x", None, T + dt.timedelta(hours=1), "new", "")]
-    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "in"))
-    q = keep_states(page_stream(spark, str(tmp_path / "in"), PAGES), "arrivals", str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert [(r.key, r.last_fetch) for r in spark.table("arrivals").collect()] == [("https://a.example/x", T + dt.timedelta(hours=1))]
+    rows = [(1, 1, "https://a.example/x#q", None, T, "old", ""), (2, 1, "https://www.a.example/x", None, T + dt.timedelta(hours=1), "new", ""), (3, 1, None, None, T, "no address", "")]
+    for part in (rows, [(4, 1, "https://a.example/x", None, T - dt.timedelta(days=90), "very late", ""), (5, 2, "https://a.example/x", None, None, None, "")]):
+        spark.createDataFrame(part, PAGES).write.mode("append").parquet(str(tmp_path / "in"))
+        keep_states(page_stream(spark, str(tmp_path / "in"), PAGES), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(60)
+    assert {(r.run_id, r.key, r.last_fetch, r.page_id) for r in current_states(spark, str(tmp_path / "log")).collect()} == {(1, "https://a.example/x", T + dt.timedelta(hours=1), 2), (2, "https://a.example/x", None, 5)}
+
+
+def test_masked_units_and_texts_of_many_figures(spark):
+    from siftlake.functions.quantity import read
+
+    assert read("Rs. in lacs: 0.035 every six months")[:4] == (3500, 3500, False, False) and read("INR thirty-seven thousand one time").low == 37000
+    assert read("Rs 100 or 200 or 300 yearly").figures == 3
+    rows = [(i, "n", f"p{i % 2}", "GOV", "T1", f"{'Rs' if i % 2 else '$'} {5000 + i * 100} {'a month' if i % 2 else 'yearly'}", None, None, None, None, None, None) for i in range(400)]
+    told = units.masked_units(spark.createDataFrame(rows, SCH)).collect()
+    assert {r.unit for r in told} == {"currency", "period"} and sum(r.right for r in told) >= 0.95 * sum(r.n for r in told)
+    rates = spark.createDataFrame([("INR", "currency", 1.0), ("per_year", "period", 1.0)], "unit_code string, unit_kind string, factor double")
+    many = spark.createDataFrame([(1, "n", "p", "GOV", "T1", "Rs 100 or 200 or 300 yearly", None, None, None, None, None, None)], SCH)
+    assert units.found(many, rates).count() == 0 and [r.id for r in units.review(many, rates).collect()] == [1]
