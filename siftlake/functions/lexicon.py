@@ -100,3 +100,7 @@ GENERIC = frozenset(
     "eligibility development faq faqs frequently asked questions center centers centre centres integrated notice lakh lakhs year years amount ngo ngos corporate csr government central state minority post matric pre".split()
 )
 KEY_NOISE = r"\b(?:scholarships?|schemes?|programme|program|fellowships?|the|for|of|and|in|to|a)\b"
+
+# Wording of links to an application form with their weights, and addresses that are none.
+APPLY_ANCHORS = ((r"\bapply\b", 0.6), (r"application (?:form|portal|link)|online application|register(?: now| here| online)?|click here to apply|start (?:your )?application", 0.5))
+APPLY_ADDRESS, NO_APPLICATION = (r"apply|application|register|otr", 0.2), r"login|signin|facebook|twitter|instagram|youtube|linkedin|whatsapp|play\.google|apps\.apple|\.pdf$|mailto:|tel:"

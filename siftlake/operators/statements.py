@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import lexicon as L
 from siftlake.functions import spans as S
 from siftlake.functions import stated as St
-from siftlake.functions.urls import host_of, registered_domain
+from siftlake.functions.urls import canonical_url, host_of, registered_domain
 
 #: Closing statements from which a page is a listing, and letters that its head and its market are told from.
 LISTING, HEAD = 8, 400
@@ -172,3 +172,25 @@ def ranked_text(pages: DataFrame, budget: int = 9_000, first: int = 25) -> DataF
     kept = F.array_sort(taken["a"])
     gaps = F.transform(kept, lambda s, k: F.concat(F.when((k > 0) & (s["i"] - F.try_element_at(kept, k)["i"] > 1), F.lit("[...]\n")).otherwise(F.lit("")), s["x"]))
     return pages.select("page_id", F.array_join(gaps, "\n").alias("selected"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, place (from 1), url, anchor of every link that a page keeps in links_json; JSON that cannot be read holds none."""
+    links = F.from_json("links_json", "array<struct<u:string,t:string>>")
+    return pages.select("page_id", F.posexplode(links).alias("i", "l")).select("page_id", (F.col("i") + 1).alias("place"), F.col("l.u").alias("url"), F.col("l.t").alias("anchor")).where("url is not null")
+
+
+def application_links(pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """page_id, url, score: the link of a page that leads to its application form, the first of equal ones.
+
+    Wording of anchor and address is weighed, a link on the page's own domain a tenth more; what only says register or is on
+    a list of other services is none. The page's own address is none either.
+    """
+    own = pages.select("page_id", F.coalesce("final_url", "url").alias("page_url"))
+    said = lambda c, rows: sum((F.when(St.speaks_of(F.col(c), p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rows), F.lit(0.0))
+    j = page_links(pages).join(own, "page_id").where(~St.speaks_of(F.col("url"), L.NO_APPLICATION) & ~F.coalesce(canonical_url(F.col("url")) == canonical_url(F.col("page_url")), F.lit(False)))
+    base = said("anchor", L.APPLY_ANCHORS) + said("url", (L.APPLY_ADDRESS,))
+    inside = F.coalesce(registered_domain(host_of(F.col("url"))) == registered_domain(host_of(F.col("page_url"))), F.lit(False))
+    scored = j.withColumn("score", F.when(base > 0, F.round(base + F.when(inside, 0.1).otherwise(0.0), 4)).otherwise(0.0)).where(F.col("score") >= least)
+    best = scored.groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "url")).alias("m"))
+    return best.select("page_id", "m.url", (-F.col("m.s")).alias("score"))

@@ -76,6 +76,8 @@ RECORDS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "cycle_of_pages": (statements.cycle_of_pages, ("pages", "crawl_runs")),
     "link_scores": (statements.link_scores, ("discovery_candidates",)),
     "expanded_links": (statements.expanded_links, ("discovery_candidates",)),
+    "page_links": (statements.page_links, ("pages",)),
+    "application_links": (statements.application_links, ("pages",)),
     "page_kinds": (statements.page_kinds, ("pages",)),
     "publishers": (statements.publishers, ("sources",)),
     "provider_domains": (statements.provider_domains, ("scholarships",)),

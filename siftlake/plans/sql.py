@@ -163,3 +163,15 @@ RECORDS |= {
     "trusted_addresses": f"""WITH a AS (SELECT id, regexp_replace(lower(regexp_extract(official_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS h, lower(official_domain) AS d FROM scholarships)
         SELECT id, coalesce(h = d OR {_DOMAIN.format("h")} = {_DOMAIN.format("d")}, FALSE) AS trusted FROM a""",
 }
+_LINKS = """SELECT page_id, coalesce(final_url, url) AS page_url, CAST(i AS INT) AS place, json_extract_string(links_json, '$[' || (i - 1) || '].u') AS u, json_extract_string(links_json, '$[' || (i - 1) || '].t') AS t
+  FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(links_json) AS BIGINT))) AS i FROM pages WHERE links_json IS NOT NULL)"""
+_FORM = lambda c: CANON.replace("coalesce(url, final_url)", c)
+_LABEL = lambda c: _DOMAIN.format(_HOST.format(f"lower({c})"))
+
+RECORDS |= {
+    "page_links": f"SELECT page_id, place, u AS url, t AS anchor FROM ({_LINKS}) WHERE u IS NOT NULL",
+    "application_links": f"""WITH l AS ({_LINKS}), s AS (SELECT page_id, place, u, {_sum("t", L.APPLY_ANCHORS)} + {_sum("u", (L.APPLY_ADDRESS,))} AS base, {_LABEL("u")} = {_LABEL("page_url")} AS inside
+        FROM l WHERE u IS NOT NULL AND NOT {_is("u", L.NO_APPLICATION)} AND {_FORM("u")} IS DISTINCT FROM {_FORM("page_url")}),
+      w AS (SELECT page_id, place, u, round(base + CASE WHEN inside THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 4) AS score FROM s WHERE base > 0)
+      SELECT page_id, arg_min(u, (-score, place)) AS url, max(score) AS score FROM w WHERE score >= 0.5 GROUP BY 1""",
+}
