@@ -62,9 +62,10 @@ def _own_domains(rows: DataFrame) -> DataFrame:
 def points_of(name: tuple[str, ...], letters: str = "") -> list[tuple[str, str, str, bool]]:
     """(suffix of the space, text, kind, initial) of the points at which a name stands.
 
-    All as it is spelled and as it sounds. Kinds: `typed` as it stands, run together; `turned` with its two words exchanged, or its words in order where there
-    are more; `word` in a space of its own for each initial: a name's other word, at which names with an initial and
-    full names meet; `both` for names with an initial, in a space for each two first letters; `letters` in a space where acronyms and full names with the same letters meet.
+    All as it is spelled and as it sounds. Kinds: `typed` as it stands, run together; `turned` with its two words
+    exchanged, or its words in order where there are more; `word` in a space of its own for each initial: a name's other
+    word, at which names with an initial and full names meet; `equal` where only equal texts meet: two initials with
+    either first letter of a name, names with an initial by both first letters, acronyms by the letters of full names.
     """
     out = []
     for form in dict.fromkeys((name, sounded(name))):
@@ -75,11 +76,13 @@ def points_of(name: tuple[str, ...], letters: str = "") -> list[tuple[str, str,
                 out.append(("", turned, "turned", False))
         if len(form) == 2:
             short = min(map(len, form)) == 1
-            out += [(f"|{x[0]}", y if len(y) > 1 else "", "word", short) for x, y in (form, form[::-1]) if len(x) == 1 or not short]
+            bare = max(map(len, form)) == 1
+            out += [(f"|{x[0]}", y, "word", short) for x, y in (form, form[::-1]) if len(y) > 1 and (len(x) == 1 or not short)]
+            out += [("|", x[0], "equal", bare) for x in form]
             if short:
-                out.append(("|" + "".join(sorted(w[0] for w in form)), "", "both", False))
+                out.append(("|+", "".join(sorted(w[0] for w in form)), "equal", True))
     if letters:
-        out.append(("|*", "".join(sorted(letters)), "letters", not name))
+        out.append(("|*", "".join(sorted(letters)), "equal", not name))
     return out
 
 
@@ -99,8 +102,8 @@ def near_names(names: DataFrame, radius: int = RADIUS, reach: int = REACH) -> Da
     points = cut(names.select("space", "key", "name", "letters").distinct().mapInPandas(place, "space string, key string, name string, text string, kind string, initial boolean"))
     whole = points.where("kind in ('typed', 'turned')")
     asked = points.where("initial").select("space").distinct()
-    parts = points.where("kind in ('word', 'letters')").join(asked, "space", "left_semi")
-    words = parts.where("kind = 'word' and text <> ''")
+    parts = cut(points.where("kind in ('word', 'equal')").join(asked, "space", "left_semi"))
+    words, equal = parts.where("kind = 'word'"), parts.where("kind = 'equal'")
     met = radius_join(whole.select("space", "text").unionAll(words.select("space", "text")), reach)
     met = cut(met.unionAll(met.select("space", F.col("t").alias("s"), F.col("s").alias("t"))).unionAll(whole.unionAll(words).select("space", F.col("text").alias("s"), F.col("text").alias("t")).distinct()))
 
@@ -117,10 +120,7 @@ def near_names(names: DataFrame, radius: int = RADIUS, reach: int = REACH) -> Da
             keep = [not x or not y or alike(tuple(x.split()), tuple(y.split()), radius) <= radius for x, y in zip(pdf["of_a"], pdf["of_b"])]
             yield pdf.loc[keep, ["a", "b"]]
 
-    initialled, both = words.where("initial"), points.where("kind = 'both'")
-    bare = ends(parts.where("kind = 'word' and initial and text = ''"), parts.where("kind = 'word'"), "space")
-    acronyms = ends(parts.where("kind = 'letters' and initial"), parts.where("kind = 'letters'"), "space", "text")
-    found = pairs(whole, whole).unionAll(pairs(initialled, words)).unionAll(bare).unionAll(acronyms).unionAll(ends(both, both, "space")).where("a <> b")
+    found = pairs(whole.unionAll(words.where("initial")), whole.unionAll(words)).unionAll(ends(equal.where("initial"), equal, "space", "text")).where("a <> b")
     turn = F.col("a") > F.col("b")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("of_b")).otherwise(F.col("of_a")).alias("of_a"), F.when(turn, F.col("of_a")).otherwise(F.col("of_b")).alias("of_b")).distinct()
     return found.mapInPandas(check, "a string, b string")
