@@ -100,3 +100,26 @@ def test_ranked_text_keeps_order_and_budget(spark):
     got = statements.ranked_text(spark.createDataFrame([(1, text), (2, None)], "page_id bigint, text string"), budget=30, first=1).collect()
     kept = {r.page_id: r.selected for r in got}
     assert kept[1].startswith("first\n") and "[...]\nlast date to apply" in kept[1] and not kept[2]
+
+
+def test_links_to_application_forms(spark):
+    rows = [
+        (1, "https://x.org/a", None, '[{"u":"https://x.org/a/","t":"Apply now"},{"u":"https://x.org/form","t":"Apply here"},{"u":"https://y.org/form","t":"Apply"}]'), (2, "https://x.org/b", None, '[{"u":"https://facebook.com/apply","t":"Apply"},{"u":"https://x.org/otr","t":"More"}]'),
+        (3, None, None, "not json"), (4, None, None, None), (5, "https://x.org/c", None, '[{"u":null,"t":"Apply"},{"u":"https://z.org/q","t":null}]'),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, final_url string, links_json string")
+    assert [tuple(r) for r in statements.application_links(df).collect()] == [(1, "https://x.org/form", 0.7)]
+    assert {(r.page_id, r.place) for r in statements.page_links(df).collect()} == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (5, 2)}
+
+
+def test_operators_on_nulls_and_empty_tables(spark):
+    page = "page_id bigint, run_id bigint, url string, final_url string, title string, text string, status_code int"
+    pages = spark.createDataFrame([(1, 1, None, None, None, None, None), (2, 1, "https://x.org/a", None, "", "", 200)], page)
+    for rows in (pages, pages.limit(0)):
+        for run in (statements.page_dates, statements.dates_in_place, statements.closing_lines, statements.page_ages, statements.text_sections, claims.rule_claims):
+            assert run(rows).count() == 0
+        assert statements.page_kinds(rows).count() == statements.ranked_text(rows).count() == rows.count()
+    records = spark.createDataFrame([record(1, None, None, None, None, None, None, None, None, None), record(2, "")], R)
+    assert entities.duplicate_keys(records).count() == 0 and entities.matched(records, records).count() == 0
+    assert [r.trusted for r in entities.trusted_addresses(records).collect()] == [False, False]
+    assert entities.field_changes(records, records).count() == 0
