@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.urls import canonical_url, host_of
+from siftlake.operators.joins import hot_join
 from siftlake.session import cut
 
 #: A template is excessive from so many pages of a site on, and from this share of them on. Levels of the trees above
@@ -39,15 +40,23 @@ class TemplateTrees:
     def __init__(self, depth: int = DEPTH):
         self.depth, self.roots, self.templates = depth, {}, []
         self.places: list[set[int]] = []
-        self.seen: dict[tuple[object, str], int] = {}
+        self.seen: dict[object, dict[str, int]] = {}
 
     def parse(self, site: object, line: str, page: int = 0) -> int:
         """The number of a line's template in the tree of its site, where it is noted for the page; 0 for a blank line."""
-        if (n := self.seen.get((site, line))) is None:
-            n = self.seen[site, line] = self._insert(site, _DIGITS.sub(SLOT, line.lower()).split())
-        if n:
-            self.places[n - 1].add(page)
-        return n
+        return self.page(site, line, page)[0]
+
+    def page(self, site: object, text: str, page: int) -> list[int]:
+        """parse() of every line of a page."""
+        known, out = self.seen.setdefault(site, {}), []
+        for line in text.split("\n"):
+            if (n := known.get(line)) is None:
+                n = known[line] = self._insert(site, _DIGITS.sub(SLOT, line.lower()).split())
+            out.append(n)
+        for n in set(out):
+            if n:
+                self.places[n - 1].add(page)
+        return out
 
     def _insert(self, site: object, words: list[str]) -> int:
         if not words:
@@ -90,7 +99,7 @@ def page_trees(pages: DataFrame) -> DataFrame:
             got = []
             for known, site, canon, text in zip(pdf["known"], pdf["site"], pdf["canon"], pdf.pop("text")):
                 root = (site, None) if known else (site, canon)
-                got.append(np.array([trees.parse(root, line, canon) for line in text.split("\n")], np.int32))
+                got.append(np.array(trees.page(root, text, canon), np.int32))
             yield pdf.assign(part=task, numbers=got, number=0, leaf=0, rest=0, pages=None)
             held += len(pdf)
             if held >= PART_PAGES or len(trees.templates) >= PART_TEMPLATES:
@@ -125,9 +134,9 @@ def repeated_places(pages: DataFrame, candidates: DataFrame, least: int = LEAST_
 
     templates = rows.where("number > 0").select("part", "number", "site", "t", "pages")
     texts = rows.where("number = 0 and exists(numbers, n -> n > 0)").select("site", "canon").distinct().groupBy("site").agg(F.count("*").alias("n"))
-    counted = templates.select("site", "t", F.explode("pages").alias("canon")).distinct().groupBy("t").agg(F.first("site").alias("site"), F.count("*").alias("k")).where(F.col("k") >= least)
-    excessive = counted.join(texts, "site").where(F.col("k") >= share * F.col("n") - 1e-9).select("t")
-    bad = templates.select("part", "number", "t").join(excessive, "t").select((F.col("part") + 0).alias("of"), "number")
+    counted = templates.select("t", F.explode("pages").alias("canon")).distinct().groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    many = templates.select("part", "number", "site", "t").join(counted, "t")
+    bad = hot_join(many, texts.withColumn("pages", F.col("n")), "site").where(F.col("k") >= share * F.col("pages") - 1e-9).select((F.col("part") + 0).alias("of"), "number")
     return seen.where("number = 0").select("part", "page_id", "numbers").groupBy("part").cogroup(bad.groupBy("of")).applyInPandas(_marked, "page_id bigint, places array<int>")
 
 
