@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,10 +18,13 @@ from siftlake.functions import spans as S
 from siftlake.functions import stated
 from siftlake.functions.names import distinctive_tokens, folded, name_key, record_key
 from siftlake.functions.urls import canonical_url, host_of, registered_domain
+from siftlake.operators.joins import by_key, shard_of, shards, whole_groups
 
 #: Similarities from which names at one domain are one, keys of duplicates are one and providers are compatible, and below
 #: which a name or text counts as changed.
 SAME_NAME, SAME_KEY, SAME_PROVIDER, NAME_CHANGED, TEXT_CHANGED = 92.0, 95.0, 70.0, 88.0, 96.0
+#: Pages of a site that are looked through at once.
+SITE_PAGES = 10_000
 
 FIELDS = {"name": "name", "provider": "name", "benefit_text": "text", "eligibility_text": "text", "deadline_note": "text", "income_limit_text": "text", "official_url": "url", "confidence": "number", "age_min": "plain", "age_max": "plain", "gender": "plain", "closing_date": "plain", "categories": "set"}
 
@@ -151,19 +157,61 @@ def record_quotes(records: DataFrame) -> DataFrame:
 def corroborated(records: DataFrame, pages: DataFrame) -> DataFrame:
     """id, page_id, day: the closing day that another page of a record's own site states for it, where the record has none.
 
-    The other page must hold all distinctive words of the record's name; of several the least page_id counts.
+    The other page must hold all distinctive words of the record's name, the longest as a whole word; of several the least page_id
+    counts. Pages go to shards of their site by their text and meet the site's records there, so no two sides are multiplied.
     """
-    lack = records.where("closing_date is null and name is not null").select("id", "primary_page_id", registered_domain(F.lower("official_domain")).alias("site"), distinctive_tokens(F.col("name")).alias("words")).where("size(words) > 0")
-    keyed = lack.withColumn("word", F.element_at(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), 1))
-    rows = pages.where("text is not null").select("page_id", registered_domain(host_of(F.coalesce("final_url", "url"))).alias("site"), "text").where(stated.speaks_of(F.col("text"), L.CLOSING))
-    said = rows.select("page_id", "site", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit("([a-z0-9]{4,})"), 1))).alias("word"))
-    near = said.join(keyed, ["site", "word"]).where("not (page_id <=> primary_page_id)").select("id", "page_id", "words")
-    j = near.join(rows.select("page_id", "text"), "page_id").where(F.forall("words", lambda w: F.contains(folded(F.col("text")), w)))
+    own = registered_domain(F.lower("official_domain"))
+    lack = records.where("closing_date is null and name is not null").select(own.alias("site"), "id", F.col("primary_page_id").alias("page_id"), distinctive_tokens(F.col("name")).alias("words")).where("site is not null and id is not null and size(words) > 0")
+    lack = lack.withColumn("words", F.array_join(F.array_distinct(F.array_sort("words", lambda a, b: F.length(b) - F.length(a))), " "))
+    host = registered_domain(host_of(F.coalesce("final_url", "url")))
+    rows = pages.where("text is not null and page_id is not null").select(host.alias("site"), "page_id", "text").where("site is not null")
+    split = F.broadcast(shards(rows.select("site"), "site", SITE_PAGES))
+    key = lambda shard: F.concat_ws("\n", shard.cast("string"), "site").alias("key")
+    read = rows.where(stated.speaks_of(F.col("text"), L.CLOSING)).join(split, "site", "left").select(key(shard_of(F.col("text"))), F.lit(0).cast("bigint").alias("id"), "page_id", F.lit(False).alias("own"), "text", F.lit(None).cast("string").alias("words"))
+    asked = lack.join(split, "site", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("shards", F.lit(1)) - 1))).select(key(F.col("shard")), "id", F.coalesce("page_id", F.lit(0)), F.col("page_id").isNotNull(), F.lit(None).cast("string"), "words")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [(i, p, next((d.day for d in S.days(t) if d.kind == "closing"), None)) for i, p, t in zip(pdf["id"], pdf["page_id"], pdf["text"])]
-            yield pd.DataFrame([g for g in got if g[2]], columns=["id", "page_id", "day"])
+        for pdf in whole_groups(batches, "key"):
+            found = _stated_days(pdf[pdf["words"].isna()], pdf[pdf["words"].notna()])
+            if found:
+                yield pd.DataFrame(found, columns=["id", "page_id", "day"])
 
-    found = j.select("id", "page_id", "text").mapInPandas(run, "id bigint, page_id bigint, day date")
+    found = by_key(read.unionAll(asked), "key").mapInPandas(run, "id bigint, page_id bigint, day date")
     return found.groupBy("id").agg(F.min(F.struct("page_id", "day")).alias("m")).select("id", "m.page_id", "m.day")
+
+
+def _stated_days(pages: pd.DataFrame, records: pd.DataFrame) -> list[tuple[int, int, dt.date]]:
+    """id, page_id, day: the least of a site's pages but the record's own that holds its words, the first of them as a whole word, and states a closing day.
+
+    Texts are looked up by their words, each text once however many pages have it; dates are read only in texts that hold some
+    record's words.
+    """
+    at: dict[str, list[int]] = {}
+    for page, text in zip(pages["page_id"], pages["text"]):
+        at.setdefault(text, []).append(page)
+    asked = [w.split(" ") for w in records["words"]]
+    if not at or not asked:
+        return []
+    texts, ids = list(at), [sorted(set(p)) for p in at.values()]
+    tokens: dict[str, set[int]] = {}
+    for i, text in enumerate(texts):
+        for token in set(re.findall(r"[a-z0-9]{4,}", text.lower())):
+            tokens.setdefault(token, set()).add(i)
+    words = {w for ws in asked for w in ws}
+    sizes, holds = sorted({len(w) for w in words}), {}
+    for token, where in tokens.items():
+        for w in {token[k : k + n] for n in sizes for k in range(len(token) - n + 1)} & words:
+            holds.setdefault(w, set()).update(where)
+    none: set[int] = set()
+
+    @cache
+    def day(i: int) -> dt.date | None:
+        return next((d.day for d in S.days(texts[i]) if d.kind == "closing"), None)
+
+    out = []
+    for record, page, own, ws in zip(records["id"], records["page_id"], records["own"], asked):
+        sets = [tokens.get(ws[0], none), *(holds.get(w, none) for w in ws[1:])]
+        hits = set.intersection(*sorted(sets, key=len)) if all(sets) else none
+        if best := min(((p, i) for i in hits for p in ids[i][:2] if not (own and p == page) and day(i)), default=None):
+            out.append((record, best[0], day(best[1])))
+    return out
