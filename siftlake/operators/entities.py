@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from siftlake.functions import lexicon as L
 from siftlake.functions import spans as S
 from siftlake.functions import stated
+from siftlake.functions.alike import alike_pairs
 from siftlake.functions.names import distinctive_tokens, folded, name_key, record_key
 from siftlake.functions.urls import canonical_url, host_of, registered_domain
 from siftlake.operators.joins import by_key, shard_of, shards, whole_groups
@@ -23,8 +24,8 @@ from siftlake.operators.joins import by_key, shard_of, shards, whole_groups
 #: Similarities from which names at one domain are one, keys of duplicates are one and providers are compatible, and below
 #: which a name or text counts as changed.
 SAME_NAME, SAME_KEY, SAME_PROVIDER, NAME_CHANGED, TEXT_CHANGED = 92.0, 95.0, 70.0, 88.0, 96.0
-#: Pages of a site that are looked through at once.
-SITE_PAGES = 10_000
+#: Pages of a site that are looked through at once, and names of a block that are compared with as many at once.
+SITE_PAGES, BLOCK_NAMES = 10_000, 4_000
 
 FIELDS = {"name": "name", "provider": "name", "benefit_text": "text", "eligibility_text": "text", "deadline_note": "text", "income_limit_text": "text", "official_url": "url", "confidence": "number", "age_min": "plain", "age_max": "plain", "gender": "plain", "closing_date": "plain", "categories": "set"}
 
@@ -39,19 +40,47 @@ def matched(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """in_id, id, rule of every incoming record (id, name, official_url, official_domain) that is a known one.
 
     Rules in order: the same address, the same canonical address, the same key, the same domain and a like name; the first that
-    fits counts, of several records the least id. The last joins names only within a domain and a first letter of their key,
-    a key's words in order, so that no two sides are multiplied. Null addresses and names match nothing.
+    fits counts, of several records the least id. The last compares names only within a domain and a first letter of their key,
+    a key's words in order: distinct names, in tiles of two shards of such a block by their counts of letters. Rows of equal
+    keys or names are not multiplied. Null addresses and names match nothing.
     """
-    side = lambda df, x: df.select(F.col("id").alias(x), F.col("official_url").alias("url"), canonical_url(F.col("official_url")).alias("canon"), F.when(name_key(F.col("name")) != "", record_key(F.col("name"), F.lower("official_domain"))).alias("key"), registered_domain(F.lower("official_domain")).alias("domain"), F.array_join(F.array_sort(F.split(name_key(F.col("name")), " ")), " ").alias("words"))
-    a, b = side(incoming, "in_id"), side(known, "id")
-    by = lambda rule, *on: a.join(b.groupBy(*on).agg(F.min("id").alias("id")), list(on)).where(F.concat_ws("", *on) != "").select("in_id", "id", F.lit(rule).alias("rule"))
-    first = F.substring("words", 1, 1).alias("c")
-    like = a.where("words <> ''").select("in_id", "domain", "words", first).join(b.where("words <> ''").select("id", "domain", F.col("words").alias("other"), first).dropDuplicates(["domain", "other"]), ["domain", "c"])
-    like = like.where(F.abs(F.length("words") - F.length("other")) <= 0.16 * F.greatest(F.length("words"), F.length("other"))).where(likeness("words", "other") >= SAME_NAME).select("in_id", "id", F.lit(4).alias("rule"))
-    found = by(1, "url").unionAll(by(2, "canon")).unionAll(by(3, "key")).unionAll(like)
+    side = lambda df, x, at: df.select(F.col("id").alias(x), at.cast("double").alias("at"), F.col("official_url").alias("url"), canonical_url(F.col("official_url")).alias("canon"), F.when(name_key(F.col("name")) != "", record_key(F.col("name"), F.lower("official_domain"))).alias("key"), registered_domain(F.lower("official_domain")).alias("domain"), F.array_join(F.array_sort(F.split(name_key(F.col("name")), " ")), " ").alias("words"))
+    a, b = side(incoming, "in_id", F.lit(1)), side(known, "id", F.lit(0))
+    by_time = lambda df, *on: df.groupBy(*on, "at").agg(F.min("id").alias("id")).groupBy(*on).agg(F.collect_list(F.struct("at", "id")).alias("known"))
+    earlier = F.array_min(F.transform(F.filter("known", lambda k: k["at"] < F.col("at")), lambda k: k["id"]))
+    meet = lambda rule, groups, *on: a.join(groups, list(on)).select("in_id", earlier.alias("id"), F.lit(rule).alias("rule")).where("id is not null")
+    by = lambda rule, on: meet(rule, by_time(b.where(F.col(on) != ""), on), on)
+    named = lambda df, last, first: df.where("words <> '' and domain is not null").select("domain", "words", last.alias("last"), first.alias("first"))
+    none = F.lit(None).cast("double")
+    names = named(a, F.col("at"), none).unionAll(named(b, none, F.col("at"))).groupBy("domain", "words").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    same = names.where("last > first").select("domain", "words", F.col("words").alias("other"))
+    like = same.unionAll(_like_names(names)).join(by_time(b, "domain", "words").withColumnRenamed("words", "other"), ["domain", "other"])
+    like = like.select("domain", "words", F.explode("known").alias("k")).select("domain", "words", "k.at", "k.id")
+    found = by(1, "url").unionAll(by(2, "canon")).unionAll(by(3, "key")).unionAll(meet(4, by_time(like, "domain", "words"), "domain", "words"))
     return found.groupBy("in_id").agg(F.min(F.struct("rule", "id")).alias("m")).select("in_id", "m.id", "m.rule")
 
 
+def _like_names(names: DataFrame) -> DataFrame:
+    """domain, words, other: like names (domain, words, last, first) of one domain and first letter, of which `other` was first known before the last time that `words` came in."""
+    blocks = names.withColumn("block", F.concat_ws("\n", F.substring("words", 1, 1), "domain"))
+    cut = blocks.join(F.broadcast(shards(blocks, "block", BLOCK_NAMES)), "block", "left").withColumn("i", shard_of(F.col("words")))
+    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("shards", F.lit(1)) - 1)))
+    tiles = cut.select(F.concat_ws("\n", F.least("i", "k").cast("string"), F.greatest("i", "k").cast("string"), "block").alias("tile"), (F.col("i") > F.col("k")).alias("second"), (F.col("i") == F.col("k")).alias("alone"), "domain", "words", "last", "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "tile"):
+            x = pdf[~pdf["second"]].reset_index(drop=True)
+            y = x if pdf["alone"].iloc[0] else pdf[pdf["second"]].reset_index(drop=True)
+            pairs = list(alike_pairs(list(x["words"]), None if y is x else list(y["words"]), SAME_NAME)) if len(pdf) > 1 else []
+            if pairs:
+                i, k = map(list, zip(*pairs))
+                for one, two in ((x.iloc[i], y.iloc[k]), (y.iloc[k], x.iloc[i])):
+                    fits = one["last"].to_numpy(float) > two["first"].to_numpy(float)
+                    yield pd.DataFrame({"domain": one["domain"].to_numpy()[fits], "words": one["words"].to_numpy()[fits], "other": two["words"].to_numpy()[fits]})
+
+    return by_key(tiles, "tile").mapInPandas(run, "domain string, words string, other string")
+
+
 def _differs(kind: str, old: Column, new: Column) -> Column:
     present = old.isNotNull() & new.isNotNull()
     if kind in ("name", "text"):

@@ -48,3 +48,23 @@ def test_corroboration_in_shards(spark, monkeypatch, most):
     got = {tuple(x) for x in entities.corroborated(spark.createDataFrame(r, RECORDS), spark.createDataFrame(p, PAGES)).collect()}
     day = dt.date(2026, 5, 31)
     assert got == {(1, 12, day), (2, 10, day), (9, 10, day)}
+
+
+def names(spark, rows):
+    return spark.createDataFrame([(i, n, "rimo.org", None, None, None) for i, n in rows], RECORDS)
+
+
+def test_matching_does_not_measure_all_names_of_a_domain(spark, within):
+    n = 6000
+    own = lambda i: " ".join("a" + "".join("bdfgklmnpr"[int(c)] + "aeiou"[(i + k) % 5] for k, c in enumerate(f"{x:05d}")) for x in (i, i * 7919 % 99991, i * 104729 % 99991))
+    known, new = names(spark, [(i, own(i)) for i in range(n)]), names(spark, [(n + i, own(i)[:-1]) for i in range(n)])
+    got = within(60, lambda: entities.matched(new, known).collect())
+    assert len(got) == n and all(r.rule == 4 for r in got)
+
+
+@pytest.mark.parametrize("most", [1, 3, 4_000])
+def test_like_names_in_shards_give_the_least_record(spark, monkeypatch, most):
+    monkeypatch.setattr(entities, "BLOCK_NAMES", most)
+    known = names(spark, [(7, "Kilo Banu Travel Prize"), (3, "Banu Kilo Travel Prize"), (5, "Kilo Banu Travels Prize"), (9, "Vorune Tasa"), (4, "Vorune Tasu Merit Fund of Hope"), (6, "Kilo Banu Other")])
+    new = names(spark, [(21, "Kilo Banu Travl Prize"), (22, "Vorune Tasa Merit Fund of Hope"), (23, "Nothing"), (24, "Travel Prize Kilo Banu")])
+    assert {tuple(r) for r in entities.matched(new, known).collect()} == {(21, 3, 4), (22, 4, 4), (24, 3, 4)}
