@@ -36,16 +36,19 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([S.similarity(x, y) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b)])
 
 
-def matched(incoming: DataFrame, known: DataFrame) -> DataFrame:
+def matched(incoming: DataFrame, known: DataFrame, order: str | None = None) -> DataFrame:
     """in_id, id, rule of every incoming record (id, name, official_url, official_domain) that is a known one.
 
     Rules in order: the same address, the same canonical address, the same key, the same domain and a like name; the first that
     fits counts, of several records the least id. The last compares names only within a domain and a first letter of their key,
     a key's words in order: distinct names, in tiles of two shards of such a block by their counts of letters. Rows of equal
     keys or names are not multiplied. Null addresses and names match nothing.
+
+    With `order`, a numeric column of few values such as the first run, only known records that come before the incoming one count,
+    so both sides may be the same table; a null there comes neither before nor after.
     """
     side = lambda df, x, at: df.select(F.col("id").alias(x), at.cast("double").alias("at"), F.col("official_url").alias("url"), canonical_url(F.col("official_url")).alias("canon"), F.when(name_key(F.col("name")) != "", record_key(F.col("name"), F.lower("official_domain"))).alias("key"), registered_domain(F.lower("official_domain")).alias("domain"), F.array_join(F.array_sort(F.split(name_key(F.col("name")), " ")), " ").alias("words"))
-    a, b = side(incoming, "in_id", F.lit(1)), side(known, "id", F.lit(0))
+    a, b = side(incoming, "in_id", F.col(order) if order else F.lit(1)), side(known, "id", F.col(order) if order else F.lit(0))
     by_time = lambda df, *on: df.groupBy(*on, "at").agg(F.min("id").alias("id")).groupBy(*on).agg(F.collect_list(F.struct("at", "id")).alias("known"))
     earlier = F.array_min(F.transform(F.filter("known", lambda k: k["at"] < F.col("at")), lambda k: k["id"]))
     meet = lambda rule, groups, *on: a.join(groups, list(on)).select("in_id", earlier.alias("id"), F.lit(rule).alias("rule")).where("id is not null")

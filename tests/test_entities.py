@@ -4,6 +4,7 @@ import threading
 import pytest
 
 from siftlake.operators import entities
+from siftlake.plans import queries
 
 RECORDS = "id bigint, name string, official_domain string, official_url string, primary_page_id bigint, closing_date date"
 PAGES = "page_id bigint, url string, final_url string, text string"
@@ -68,3 +69,14 @@ def test_like_names_in_shards_give_the_least_record(spark, monkeypatch, most):
     known = names(spark, [(7, "Kilo Banu Travel Prize"), (3, "Banu Kilo Travel Prize"), (5, "Kilo Banu Travels Prize"), (9, "Vorune Tasa"), (4, "Vorune Tasu Merit Fund of Hope"), (6, "Kilo Banu Other")])
     new = names(spark, [(21, "Kilo Banu Travl Prize"), (22, "Vorune Tasa Merit Fund of Hope"), (23, "Nothing"), (24, "Travel Prize Kilo Banu")])
     assert {tuple(r) for r in entities.matched(new, known).collect()} == {(21, 3, 4), (22, 4, 4), (24, 3, 4)}
+
+
+def test_records_are_matched_with_all_earlier_runs(spark, tmp_path):
+    r = [
+        (1, "Kilo Banu Prize", "https://rimo.org/a", "rimo.org", 2), (2, "Else", "https://rimo.org/a", "rimo.org", 3), (3, "Kilo Banu Travel Prize", None, "rimo.org", 3), (4, "Kilo Banu Travl Prize", None, "rimo.org", 5), (5, "Kilo Banu Travel Prize 2026", None, "rimo.org", 3),
+        (6, "Vorune Tasa", "https://rimo.org/v/", "rimo.org", 4), (7, "Tasa", "https://www.rimo.org/v#x", "rimo.org", 6), (8, "Vorune Tasa", None, "rimo.org", None), (9, "Mopoyo", "https://rimo.org/a", "rimo.org", 1),
+        (10, "Kilo Banu Travel Prizes", None, "rimo.org", 2),
+    ]
+    spark.createDataFrame(r, "id bigint, name string, official_url string, official_domain string, first_run_id bigint").write.parquet(f"{tmp_path}/scholarships.parquet")
+    got = {tuple(x) for x in queries.self_matched(spark, str(tmp_path)).collect()}
+    assert got == {(1, 9, 1), (2, 1, 1), (3, 10, 4), (4, 3, 4), (5, 10, 4), (7, 6, 2)}
