@@ -1,4 +1,7 @@
+import numpy as np
+
 from siftlake.llm import residue
+from siftlake.llm.lines import Scores
 
 ABOUT = "\n".join(["The stipend stops during the summer break.", "Two reference letters are needed.", "Late forms are not entertained.", "Interviews can be held by video.", "Wards of staff are not eligible.", "Calls are answered on working days."])
 PAGES = "page_id bigint, url string, final_url string, title string, text string"
@@ -65,3 +68,31 @@ def test_frames_in_blocks_give_the_same(spark):
     open_slots = spark.createDataFrame([("0 given \1 to x.",), ("0 sent \1 by y.",)], "frame string")
     want = {tuple(r) for r in residue.filled(rows, open_slots).collect()}
     assert len(want) == 2 and {tuple(r) for r in residue.filled(rows, open_slots, block=1).collect()} == want
+
+
+def test_lines_are_classified_together_as_alone(monkeypatch):
+    model = residue.model()
+    lines = ["Home", "Zufokalu wemipo", "Zufokalu 12, 2026.", "12. Send the form.", "Send the form. 5² ΣΑΣ İzmir.", "< back ^ top", "...", "©", "The page you asked for cannot be found.", ABOUT.replace("\n", " "), "x" * 5000, "Home"]
+    for got, x in zip(Scores(model).of(lines), lines):
+        assert np.allclose(got, model.score(x), atol=1e-12)
+    assert Scores(model).of([]).shape == (0, 4) and not Scores(model).of(["zufokalu", "wemipo, vrilto"]).any()
+    alone, together = residue.Reader(model), residue.Reader(model)
+    odd = [*lines, "  Home\t ", "Lorem ipsum dolor sapien tortor.", "LOREM ıpsum dolor sapien", "Rimo Tasa Travel Grant"]
+    want = [alone.line(x) for x in odd]
+    asked = []
+    monkeypatch.setattr(Scores, "of", lambda self, x, of=Scores.of: asked.append(len(x)) or of(self, x))
+    monkeypatch.setattr(type(model), "score", None)
+    together.learn(odd)
+    assert len(asked) == 1
+    got = [together.line(x) for x in odd]
+    assert len(asked) == 1 and [k for k, _ in got] == [k for k, _ in want] and np.allclose([m for _, m in got], [m for _, m in want])
+    assert got[0][0] == "furniture" and got[8][0] == "error" and got[-3][0] == "filler" and got[-2][0] == "filler" and got[-1][0] == "name"
+
+
+def test_sentences_that_come_again_are_numbered_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(residue, "number", lambda x, number=residue.number: made.append(x) or number(x))
+    reader = residue.Reader(residue.model())
+    got = {reader.frames(f"Late forms are not entertained. Rimo sent {i}  letters!  Is it so? Ends") for i in range(100)}
+    assert len(got) == 1 and len(made) == 8
+    assert made[::2] == ["late forms are not entertained.", "rimo sent \2 letters!", "is it so?", "ends"]
